@@ -251,3 +251,196 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT '_global' AS {LOC}, " + ", ".join(r6(f"quantile_cont({q(c)}, 0.5)", c) for c in CN_OUT)
             + " FROM cn", CN_CTES),
     }
+
+
+# ---- supply ------------------------------------------------------------------------
+
+def _supply_sql() -> dict[str, str]:
+    sup = f"supply AS ({demo.supply_sql('duckdb')})"
+    origin = f"coalesce({q('supplier_district')}, {q('supplier_country')})"
+    pairs = with_survey(
+        f"SELECT pair, {q('supplier_route')} AS nm, count(*) AS n FROM "
+        f"(SELECT {q('supplier_destination')} || '__' || {origin} AS pair, {q('supplier_route')} FROM supply) s "
+        f"GROUP BY ALL", sup)
+    pairs = pairs.replace(" SELECT pair, ", " , c AS (SELECT pair, ", 1) if False else pairs
+    items = ["supplier_items.rice", "supplier_items.oil", "supplier_items.soap"]
+    sums = ", ".join(f"CAST(sum({q(i)}) AS BIGINT) AS {q(i)}" for i in items)
+    unp = " UNION ALL ".join(
+        f"SELECT supplier_origin, '{i.replace('supplier_items.', '')}' AS item, {q(i)} AS value FROM g" for i in items)
+    return {
+        "supply_pairs": with_survey(
+            "SELECT pair, 'supplier_route__' || route AS item, n, "
+            "round(n / sum(n) OVER (PARTITION BY pair), 6) AS pc FROM c",
+            f"{sup}, c AS (SELECT {q('supplier_destination')} || '__' || {origin} AS pair, "
+            f"{q('supplier_route')} AS route, count(*) AS n FROM supply GROUP BY ALL)"),
+        "supply_items": with_survey(
+            f"SELECT supplier_origin, item, value FROM ({unp}) u WHERE value <> 0",
+            f"{sup}, g AS (SELECT {origin} AS supplier_origin, {sums} FROM supply GROUP BY ALL)"),
+    }
+
+
+# ---- validation -----------------------------------------------------------------------
+
+def _trim(expr: str) -> str:
+    return f"regexp_replace({expr}, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')"
+
+
+NUMERIC_ANSWER_COLS = PRICE_COLS + ["price_usd_rice_other"] + STOCK_COLS + [
+    "supplier_number", "credit_max_usd", "credit_total_usd"]
+OTHER_COLS = {"price_usd_rice_other": "double", "barrier_finance_other": "string",
+              "supplier_source_other": "string", "cva_effect_other": "string"}
+
+
+def _minutes_sql(ts: str) -> str:
+    t = f"substr(split_part({ts}, 'T', 2), 1, 8)"
+    return (f"round(CAST(split_part({t}, ':', 1) AS DOUBLE) * 60 + CAST(split_part({t}, ':', 2) AS DOUBLE) "
+            f"+ CAST(split_part({t}, ':', 3) AS DOUBLE) / 60, 2)")
+
+
+def _outlier_ctes(src: str = "survey") -> str:
+    idx = q("index")
+    long = " UNION ALL ".join(f"SELECT {idx}, '{c}' AS variable, CAST({q(c)} AS DOUBLE) AS value FROM {src}"
+                              for c in NUMERIC_ANSWER_COLS)
+    return (f"olong AS (SELECT * FROM ({long}) u WHERE value IS NOT NULL), "
+            f"ost AS (SELECT variable, avg(value) AS m, stddev_samp(value) AS s, "
+            f"avg(CASE WHEN value > 0 THEN ln(value) END) AS lm, "
+            f"stddev_samp(CASE WHEN value > 0 THEN ln(value) END) AS ls FROM olong GROUP BY variable), "
+            f"outl AS (SELECT {idx}, value, variable, true AS has_issue, '{_outlier_normal()}' AS issue_type "
+            f"FROM olong JOIN ost USING (variable) WHERE abs(value - m) > 3 * s UNION ALL "
+            f"SELECT {idx}, value, variable, true AS has_issue, '{_outlier_log()}' AS issue_type FROM olong "
+            f"JOIN ost USING (variable) WHERE value > 0 AND abs(ln(value) - lm) > 3 * ls)")
+
+
+def _outlier_normal():
+    from ..operators.quality import OUTLIER_NORMAL
+    return OUTLIER_NORMAL
+
+
+def _outlier_log():
+    from ..operators.quality import OUTLIER_LOG
+    return OUTLIER_LOG
+
+
+def _validation_sql() -> dict[str, str]:
+    uid, quest, idx = q("uuid"), q("question"), q("index")
+    logc = f"log AS ({demo.log_sql('duckdb')})"
+    dele = f"deletions AS ({demo.deletions_sql('duckdb')})"
+    names = ", ".join(f"'{c}'" for c in demo.survey_columns())
+    rlog = (f"rlog AS (SELECT * FROM log WHERE {uid} IN (SELECT {uid} FROM survey) "
+            f"AND {quest} IN ({names}))")
+    cell = ("CASE l." + quest + " " + " ".join(
+        f"WHEN '{c}' THEN {demo.render_sql('s.' + q(c), t)}" for c, t in demo._LOG_TYPES.items()) + " END")
+    na = "'N/A'"
+    check_log = with_survey(
+        f"SELECT * FROM (SELECT coalesce({uid}, {na}) AS {uid}, {quest}, "
+        f"coalesce({_trim(q('old_value'))}, {na}) AS {q('old_value')}, "
+        f"coalesce({_trim(q('new_value'))}, {na}) AS {q('new_value')}, {_trim(f'coalesce(cell, {na})')} AS "
+        f"value_extracted, 'Please check log' AS {q('check')} FROM j) x WHERE {q('new_value')} <> value_extracted",
+        f"{logc}, {rlog}, j AS (SELECT l.*, {cell} AS cell FROM rlog l LEFT JOIN survey s ON l.{uid} = s.{uid})")
+    sm, em = _minutes_sql(q("start")), _minutes_sql(q("end"))
+    days = (f"date_diff('day', CAST(split_part({q('start')}, 'T', 1) AS DATE), "
+            f"CAST(split_part({q('end')}, 'T', 1) AS DATE))")
+    check_time = with_survey(
+        f"SELECT {uid}, round(d, 6) AS value, 'Completion Duration (min)' AS variable, 'TRUE' AS has_issue, "
+        f"CASE WHEN d <= 5 THEN 'form duration too short' ELSE 'form duration too long' END AS issue_type "
+        f"FROM (SELECT {uid}, {em} - {sm} AS d FROM survey WHERE {days} = 0) t WHERE d <= 5 OR d >= 60")
+    other_long = " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, {demo.render_sql(q(c), t)} AS value FROM survey" for c, t in OTHER_COLS.items())
+    sample = f"sample AS ({demo.survey_sample_sql('duckdb')})"
+    owner = (f"SELECT o.{idx}, round(o.value, 6) AS value, o.variable, o.has_issue, o.issue_type, s.{uid}, "
+             f"s.{q('enumerator_org')} AS ngo FROM outl o LEFT JOIN survey s ON o.{idx} = s.{idx}")
+    return {
+        "check_log": check_log,
+        "log_unknown_uuids": with_survey(
+            f"SELECT * FROM log WHERE {uid} NOT IN (SELECT {uid} FROM survey) "
+            f"AND {uid} IN (SELECT {uid} FROM deletions)", f"{logc}, {dele}"),
+        "log_unknown_questions": with_survey(f"SELECT * FROM log WHERE {quest} NOT IN ({names})", logc),
+        "restrict_log": with_survey("SELECT * FROM rlog", f"{logc}, {rlog}"),
+        "undeleted": with_survey(f"SELECT * FROM deletions WHERE {uid} IN (SELECT {uid} FROM survey)", dele),
+        "check_time": check_time,
+        "find_outliers": with_survey(
+            f"SELECT {idx}, round(value, 6) AS value, variable, has_issue, issue_type FROM outl", _outlier_ctes()),
+        "find_duplicates": with_survey(
+            f"SELECT {idx}, {uid} AS value, 'uuid' AS variable, true AS has_issue, 'duplicated value' AS issue_type "
+            f"FROM sample WHERE {uid} IN (SELECT {uid} FROM sample GROUP BY {uid} HAVING count(*) > 1)", sample),
+        "find_other_responses": with_survey(
+            f"SELECT CAST(NULL AS BIGINT) AS {idx}, value, variable, true AS has_issue, "
+            f"'''other'' response. may need recoding.' AS issue_type, count(*) AS n FROM ({other_long}) u "
+            f"WHERE value IS NOT NULL GROUP BY ALL"),
+        "attach_issue_owner": with_survey(
+            f"SELECT * FROM ({owner}) w WHERE {uid} NOT IN (SELECT {uid} FROM log)", f"{logc}, {_outlier_ctes()}"),
+        "attach_issue_owner_logged": with_survey(
+            f"SELECT * FROM ({owner}) w WHERE {idx} IS NOT NULL AND {uid} IN (SELECT {uid} FROM log)",
+            f"{logc}, {_outlier_ctes()}"),
+        "convert_col_types": with_survey("SELECT " + ", ".join(
+            _converted(c) for c in demo.survey_columns()) + " FROM survey0"),
+    }
+
+
+_SURVEY_TYPES = None
+
+
+def _survey_type(c: str) -> str:
+    ints = {"barrier_transport.road", "barrier_transport.cost", "payment_mode.cash", "payment_mode.mobile",
+            "cva_effect.stock", "supplier_number", "index"}
+    doubles = set(PRICE_COLS) | set(STOCK_COLS) | {"price_usd_rice_other", "cva_effect.prices",
+                                                   "credit_max_usd", "credit_total_usd"}
+    return "int" if c in ints else "double" if c in doubles else "string"
+
+
+def _converted(c: str) -> str:
+    tool = dict(demo.tool_rows())
+    text = demo.render_sql(q(c), _survey_type(c))
+    if tool.get(c) in ("integer", "decimal", "calculate"):
+        return f"TRY_CAST(trim({text}) AS DOUBLE) AS {q(c)}"
+    return f"{text} AS {q(c)}"
+
+
+# ---- comparison ----------------------------------------------------------------------------
+
+def _compare_sql() -> dict[str, str]:
+    """Rows are aligned by grouping the union of both sides on the key (no join)."""
+    uid = q("uuid")
+    cols = [c for c in demo.survey_columns() if c not in ("uuid", "avail_shop_rice", "supplier_number")]
+    xs = ", ".join(f"{q(c)} AS {q('x:' + c)}, NULL AS {q('y:' + c)}" for c in cols)
+    ys = ", ".join(f"NULL AS {q('x:' + c)}, {q(c)} AS {q('y:' + c)}" for c in cols)
+    picks = ", ".join(f"max({q('x:' + c)}) AS {q('x:' + c)}, max({q('y:' + c)}) AS {q('y:' + c)}" for c in cols)
+    ctes = (f"y AS ({demo.survey_edited_sql('duckdb', source='survey0')}), "
+            f"u AS (SELECT {uid}, 1 AS in_x, 0 AS in_y, {xs} FROM survey0 UNION ALL "
+            f"SELECT {uid}, 0 AS in_x, 1 AS in_y, {ys} FROM y), "
+            f"g AS (SELECT {uid}, max(in_x) AS in_x, max(in_y) AS in_y, {picks} FROM u GROUP BY {uid})")
+
+    def differs(c: str) -> str:
+        a, b = q("x:" + c), q("y:" + c)
+        t = _survey_type(c)
+        neq = f"abs(CAST({a} AS DOUBLE) - CAST({b} AS DOUBLE)) > 1.5e-8" if t != "string" else f"{a} <> {b}"
+        return f"(({a} IS NULL) <> ({b} IS NULL) OR ({a} IS NOT NULL AND {b} IS NOT NULL AND {neq}))"
+
+    cells = " UNION ALL ".join(
+        f"SELECT {uid}, '{c}' AS variable, {demo.render_sql(q('x:' + c), _survey_type(c))} AS value_x, "
+        f"{demo.render_sql(q('y:' + c), _survey_type(c))} AS value_y FROM g "
+        f"WHERE in_x = 1 AND in_y = 1 AND {differs(c)}" for c in cols)
+    diffs = ", ".join(f"CAST(sum(CASE WHEN in_x = 1 AND in_y = 1 AND {differs(c)} THEN 1 ELSE 0 END) AS BIGINT) "
+                      f"AS {q('diff:' + c)}" for c in cols)
+    counts = (f"SELECT sum(in_x) AS nrow_x, sum(in_y) AS nrow_y, sum(CASE WHEN in_y = 0 THEN 1 ELSE 0 END) "
+              f"AS rows_only_x, sum(CASE WHEN in_x = 0 THEN 1 ELSE 0 END) AS rows_only_y, "
+              f"sum(in_x * in_y) AS rows_both, {diffs}, 60 AS ncol_x, 60 AS ncol_y, 58 AS ncol_shared, "
+              f"1 AS ncol_not_compared, 1 AS ncol_only_x, 1 AS ncol_only_y FROM g")
+    names = (["nrow_x", "nrow_y", "rows_only_x", "rows_only_y", "rows_both"] + [f"diff:{c}" for c in cols]
+             + ["ncol_x", "ncol_y", "ncol_shared", "ncol_not_compared", "ncol_only_x", "ncol_only_y"])
+    unp = " UNION ALL ".join(f"SELECT '{n}' AS item, CAST({q(n)} AS BIGINT) AS value FROM cnt" for n in names)
+    return {
+        "compare_tables": with_survey(cells, ctes),
+        "compare_summary": with_survey(unp, f"{ctes}, cnt AS ({counts})"),
+    }
+
+
+_base_oracle_sql = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    out = _base_oracle_sql()
+    out.update(_supply_sql())
+    out.update(_validation_sql())
+    out.update(_compare_sql())
+    return out

@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.sem import round_doubles
+from ..operators import compare as C
 from ..operators import indicators as I
+from ..operators import quality as Q
 from ..operators import rollup as R
 from ..sources import demo
 
@@ -176,3 +178,96 @@ def q_credit_numbers(spark, d):
 @register("global_credit_numbers")
 def q_global_credit_numbers(spark, d):
     return R.global_credit_numbers(I.credit_numbers(_survey(spark, d)))
+
+
+# ---- supply chain (commented-out part of the analysis, on the supply view) -----
+
+@register("supply_pairs")
+def q_supply_pairs(spark, d):
+    return I.supply_pairs(demo.supply(spark, d))
+
+
+@register("supply_items")
+def q_supply_items(spark, d):
+    return I.supply_items(demo.supply(spark, d))
+
+
+# ---- validation ------------------------------------------------------------------
+
+def _log(spark, d):
+    return demo.cleaning_log(spark, d)
+
+
+@register("check_log")
+def q_check_log(spark, d):
+    s = _survey(spark, d)
+    return Q.check_log(s, Q.restrict_log(_log(spark, d), s))
+
+
+@register("log_unknown_uuids")
+def q_log_unknown_uuids(spark, d):
+    return Q.log_unknown_uuids(_log(spark, d), _survey(spark, d), demo.deletions(spark, d))
+
+
+@register("log_unknown_questions")
+def q_log_unknown_questions(spark, d):
+    return Q.log_unknown_questions(_log(spark, d), _survey(spark, d))
+
+
+@register("restrict_log")
+def q_restrict_log(spark, d):
+    return Q.restrict_log(_log(spark, d), _survey(spark, d))
+
+
+@register("undeleted")
+def q_undeleted(spark, d):
+    return Q.undeleted(demo.deletions(spark, d), _survey(spark, d))
+
+
+@register("check_time")
+def q_check_time(spark, d):
+    return Q.check_time(_survey(spark, d), 5, 60)
+
+
+@register("find_outliers")
+def q_find_outliers(spark, d):
+    return Q.find_outliers(_survey(spark, d))
+
+
+@register("find_duplicates")
+def q_find_duplicates(spark, d):
+    return Q.find_duplicates(demo.survey_sample(spark, d), "uuid")
+
+
+@register("find_other_responses")
+def q_find_other_responses(spark, d):
+    return Q.find_other_responses(_survey(spark, d))
+
+
+@register("attach_issue_owner")
+def q_attach_issue_owner(spark, d):
+    s = _survey(spark, d)
+    return Q.attach_issue_owner(Q.find_outliers(s), s, _log(spark, d), "drop_logged")
+
+
+@register("attach_issue_owner_logged")
+def q_attach_issue_owner_logged(spark, d):
+    s = _survey(spark, d)
+    return Q.attach_issue_owner(Q.find_outliers(s), s, _log(spark, d), "keep_logged")
+
+
+@register("convert_col_types")
+def q_convert_col_types(spark, d):
+    return Q.convert_col_types(_survey(spark, d), Q.tool_types(demo.tool(spark)))
+
+
+# ---- comparison -------------------------------------------------------------------
+
+@register("compare_tables")
+def q_compare_tables(spark, d):
+    return C.compare_tables(_survey(spark, d), demo.survey_edited(spark, d), ["uuid"])
+
+
+@register("compare_summary")
+def q_compare_summary(spark, d):
+    return C.compare_summary(_survey(spark, d), demo.survey_edited(spark, d), ["uuid"])

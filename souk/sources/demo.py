@@ -149,6 +149,117 @@ def survey_sql(dialect: str = "spark") -> str:
     return f"SELECT {', '.join(cols)} FROM ({base}) b"
 
 
+def survey_columns() -> list[str]:
+    """Column names of the survey view, in order."""
+    import re
+    sel = survey_sql("spark")
+    outer = sel[: sel.rindex(" FROM (SELECT o.o_orderkey")]
+    return re.findall(r" AS `([^`]+)`(?=, |$)", outer)
+
+
+# Form definition of the survey (fixed values): question name -> type.
+TOOL_TYPES = {
+    "uuid": "calculate", "index": "calculate", "jmmi_date": "calculate", "start": "start", "end": "end",
+    "call_location": "select_one", "vendor_type": "select_one", "enumerator": "text",
+    "enumerator_org": "text", "avail_shop_rice": "select_one", "barrier_transport": "select_multiple",
+    "barrier_finance": "select_one", "barrier_finance_other": "text", "currency_used": "select_one",
+    "payment_mode": "select_multiple", "barter_accept": "select_one", "supplier_source": "select_one",
+    "supplier_source_other": "text", "transportation_mode": "select_one", "supplier_number": "integer",
+    "credit_offer": "select_one", "cva_effect": "select_multiple", "cva_effect_other": "text",
+    "customer_change": "select_one", "gender_vendor": "select_one", "credit_max_usd": "decimal",
+    "credit_total_usd": "decimal", "note_intro": "note", "today": "today", "deviceid": "deviceid",
+}
+
+
+def tool_rows() -> list[tuple[str, str]]:
+    rows = []
+    for t in PART_TYPES:
+        low = t.lower()
+        rows += [(f"price_usd_{low}_1kg", "decimal"), (f"stock_len_{low}", "integer"),
+                 (f"stock_time_{low}", "decimal"), (f"stock_dif_{low}", "select_one")]
+    rows += [("price_usd_rare_1kg", "decimal"), ("price_usd_water_truck_20l", "decimal"),
+             ("price_usd_rice_other", "decimal")]
+    rows += list(TOOL_TYPES.items())
+    return rows
+
+
+def tool_sql(dialect: str = "spark") -> str:
+    """The ``tool`` view: one row per question of the form (name, type)."""
+    q = quoter(dialect)
+    vals = ", ".join(f"('{n}', '{t}')" for n, t in tool_rows())
+    return f"SELECT * FROM (VALUES {vals}) AS tool({q('name')}, {q('type')})"
+
+
+def survey_sample_sql(dialect: str = "spark", source: str | None = None) -> str:
+    """The ``survey_sample`` view: every 10th interview plus copies of some of them.
+
+    k % 70 = 0: a near copy (new uuid) with 1-3 answers changed;
+    k % 210 = 0: an exact second submission (same uuid, new index).
+    """
+    q = quoter(dialect)
+    names = survey_columns()
+    k = f"({q('index')} - 1)"
+    changed = {
+        "uuid": f"{q('uuid')} || 'c'",
+        "index": f"{q('index')} + 1000000000",
+        "price_usd_economy_1kg": f"CASE WHEN {k} % 140 = 0 THEN {q('price_usd_economy_1kg')} + 1 "
+                                 f"ELSE {q('price_usd_economy_1kg')} END",
+        "barrier_finance": f"CASE WHEN {q('barrier_finance')} = 'yes' THEN 'no' ELSE 'yes' END",
+        "credit_offer": f"CASE WHEN {k} % 280 = 0 THEN 'dk' ELSE {q('credit_offer')} END",
+    }
+    near = ", ".join(f"{changed.get(n, q(n))} AS {q(n)}" for n in names)
+    exact = ", ".join((f"{q('index')} + 2000000000" if n == "index" else q(n)) + f" AS {q(n)}" for n in names)
+    s = source or f"({survey_sql(dialect)})"
+    return (f"SELECT * FROM {s} s WHERE {k} % 10 = 0 "
+            f"UNION ALL SELECT {near} FROM {s} s WHERE {k} % 70 = 0 "
+            f"UNION ALL SELECT {exact} FROM {s} s WHERE {k} % 210 = 0")
+
+
+def survey_edited_sql(dialect: str = "spark", source: str | None = None) -> str:
+    """The ``survey_edited`` view: a second team's copy of the survey.
+
+    price_usd_economy_1kg + 1 where k % 333 = 0 and null where k % 444 = 0;
+    avail_shop_rice dropped, extra_note added, supplier_number stored as text,
+    interviews with k % 997 = 5 missing.
+    """
+    q = quoter(dialect)
+    k = f"({q('index')} - 1)"
+    out = []
+    for n in survey_columns():
+        if n == "avail_shop_rice":
+            continue
+        if n == "price_usd_economy_1kg":
+            out.append(f"CASE WHEN {k} % 444 = 0 THEN NULL WHEN {k} % 333 = 0 THEN {q(n)} + 1 "
+                       f"ELSE {q(n)} END AS {q(n)}")
+        elif n == "supplier_number":
+            out.append(f"CAST({q(n)} AS STRING) AS {q(n)}")
+        else:
+            out.append(f"{q(n)} AS {q(n)}")
+    out.append(f"'checked' AS {q('extra_note')}")
+    src = source or f"({survey_sql(dialect)})"
+    return f"SELECT {', '.join(out)} FROM {src} s WHERE {k} % 997 <> 5"
+
+
+def supply_sql(dialect: str = "spark") -> str:
+    """The ``supply`` view: one supply record per order line.
+
+    destination = customer nation; district = supplier nation (null where
+    s_suppkey % 5 = 0); country = supplier region; route = return flag; item
+    flags from the quantity.
+    """
+    q = quoter(dialect)
+    return (f"SELECT cn.n_name AS {q('supplier_destination')}, "
+            f"CASE WHEN s.s_suppkey % 5 = 0 THEN NULL ELSE sn.n_name END AS {q('supplier_district')}, "
+            f"r.r_name AS {q('supplier_country')}, l.l_returnflag AS {q('supplier_route')}, "
+            f"CASE WHEN l.l_quantity > 25 THEN 1 ELSE 0 END AS {q('supplier_items.rice')}, "
+            f"CASE WHEN l.l_quantity % 3 = 0 THEN 1 ELSE 0 END AS {q('supplier_items.oil')}, "
+            f"CASE WHEN l.l_linenumber = 1 THEN 1 ELSE 0 END AS {q('supplier_items.soap')} "
+            "FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey "
+            "JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation cn ON c.c_nationkey = cn.n_nationkey "
+            "JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation sn ON s.s_nationkey = sn.n_nationkey "
+            "JOIN region r ON sn.n_regionkey = r.r_regionkey")
+
+
 def deletions_sql(dialect: str = "spark") -> str:
     """The ``deletions`` view: interviews marked for removal (uuid)."""
     q = quoter(dialect)
@@ -222,3 +333,22 @@ def deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleaning_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_base_tables(spark, sf_dir)
     return spark.sql(log_sql("spark"))
+
+
+def tool(spark: SparkSession) -> DataFrame:
+    return spark.sql(tool_sql("spark"))
+
+
+def survey_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_base_tables(spark, sf_dir)
+    return spark.sql(survey_sample_sql("spark"))
+
+
+def survey_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_base_tables(spark, sf_dir)
+    return spark.sql(survey_edited_sql("spark"))
+
+
+def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_base_tables(spark, sf_dir)
+    return spark.sql(supply_sql("spark"))
