@@ -71,7 +71,7 @@ def survey_sql(dialect: str = "spark") -> str:
         f"'S' || CAST(b.k AS STRING) AS {q('uuid')}",
         f"b.k + 1 AS {q('index')}",
         f"substr({day}, 3, 2) || substr({day}, 6, 2) AS {q('jmmi_date')}",
-        f"CASE WHEN b.k % 499 = 0 THEN NULL ELSE b.n_name END AS {q('call_location')}",
+        f"CASE WHEN b.k % 499 = 0 THEN NULL ELSE concat(b.n_name, '') END AS {q('call_location')}",
         "CASE WHEN b.c % 40 = 0 THEN NULL " + " ".join(
             f"WHEN b.c % 4 = {i} THEN '{v}'" for i, v in enumerate(VENDOR_TYPES))
         + f" END AS {q('vendor_type')}",
