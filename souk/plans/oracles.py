@@ -346,7 +346,7 @@ def _validation_sql() -> dict[str, str]:
         f"FROM (SELECT {uid}, {em} - {sm} AS d FROM survey WHERE {days} = 0) t WHERE d <= 5 OR d >= 60")
     other_long = " UNION ALL ".join(
         f"SELECT '{c}' AS variable, {demo.render_sql(q(c), t)} AS value FROM survey" for c, t in OTHER_COLS.items())
-    sample = f"sample AS ({demo.survey_sample_sql('duckdb')})"
+    sample = f"sample AS ({demo.survey_copies_sql('duckdb', source='survey0')})"
     owner = (f"SELECT o.{idx}, round(o.value, 6) AS value, o.variable, o.has_issue, o.issue_type, s.{uid}, "
              f"s.{q('enumerator_org')} AS ngo FROM outl o LEFT JOIN survey s ON o.{idx} = s.{idx}")
     return {

@@ -16,6 +16,7 @@ from ..operators import compare as C
 from ..operators import indicators as I
 from ..operators import quality as Q
 from ..operators import rollup as R
+from ..operators import similarity as SIM
 from ..sources import demo
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,7 +237,7 @@ def q_find_outliers(spark, d):
 
 @register("find_duplicates")
 def q_find_duplicates(spark, d):
-    return Q.find_duplicates(demo.survey_sample(spark, d), "uuid")
+    return Q.find_duplicates(demo.survey_copies(spark, d), "uuid")
 
 
 @register("find_other_responses")
@@ -271,3 +272,31 @@ def q_compare_tables(spark, d):
 @register("compare_summary")
 def q_compare_summary(spark, d):
     return C.compare_summary(_survey(spark, d), demo.survey_edited(spark, d), ["uuid"])
+
+
+# ---- falsification (no SQL oracle: exact banded search / separable silhouette,
+# tested against brute force over all pairs in tests/test_similarity.py) --------
+
+@register("near_duplicates")
+def q_near_duplicates(spark, d):
+    types = Q.tool_types(demo.tool(spark))
+    return SIM.near_duplicates(demo.survey_copies(spark, d), types, max_diff=5)
+
+
+@register("nearest_survey")
+def q_nearest_survey(spark, d):
+    types = Q.tool_types(demo.tool(spark))
+    return SIM.nearest_survey(demo.survey_copies(spark, d), types, max_diff=10)
+
+
+# answers compared between enumerators: the single-choice and number questions
+# every vendor is asked (few null patterns keep the separable sums small)
+SILHOUETTE_COLUMNS = ["vendor_type", "avail_shop_rice", "currency_used", "barter_accept", "credit_offer",
+                      "customer_change", "gender_vendor", "supplier_number", "credit_total_usd"]
+
+
+@register("enumerator_similarity")
+def q_enumerator_similarity(spark, d):
+    types = Q.tool_types(demo.tool(spark))
+    return SIM.enumerator_similarity(_survey(spark, d), types, "enumerator", "call_location",
+                                     columns=SILHOUETTE_COLUMNS)

@@ -57,3 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut the lineage of a DataFrame that is read several times.
+
+    Written with ``checkpoint()`` to the folder named by ``spark.checkpoint.dir``
+    (shared on a cluster), so later stages survive lost executors without
+    recomputing the upstream joins.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -190,8 +190,8 @@ def tool_sql(dialect: str = "spark") -> str:
     return f"SELECT * FROM (VALUES {vals}) AS tool({q('name')}, {q('type')})"
 
 
-def survey_sample_sql(dialect: str = "spark", source: str | None = None) -> str:
-    """The ``survey_sample`` view: every 10th interview plus copies of some of them.
+def survey_copies_sql(dialect: str = "spark", source: str | None = None) -> str:
+    """The ``survey_copies`` view: every interview plus copies of some of them.
 
     k % 70 = 0: a near copy (new uuid) with 1-3 answers changed;
     k % 210 = 0: an exact second submission (same uuid, new index).
@@ -210,7 +210,7 @@ def survey_sample_sql(dialect: str = "spark", source: str | None = None) -> str:
     near = ", ".join(f"{changed.get(n, q(n))} AS {q(n)}" for n in names)
     exact = ", ".join((f"{q('index')} + 2000000000" if n == "index" else q(n)) + f" AS {q(n)}" for n in names)
     s = source or f"({survey_sql(dialect)})"
-    return (f"SELECT * FROM {s} s WHERE {k} % 10 = 0 "
+    return (f"SELECT * FROM {s} s "
             f"UNION ALL SELECT {near} FROM {s} s WHERE {k} % 70 = 0 "
             f"UNION ALL SELECT {exact} FROM {s} s WHERE {k} % 210 = 0")
 
@@ -339,9 +339,9 @@ def tool(spark: SparkSession) -> DataFrame:
     return spark.sql(tool_sql("spark"))
 
 
-def survey_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+def survey_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_base_tables(spark, sf_dir)
-    return spark.sql(survey_sample_sql("spark"))
+    return spark.sql(survey_copies_sql("spark"))
 
 
 def survey_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
