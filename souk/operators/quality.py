@@ -94,10 +94,13 @@ def check_log(data: DataFrame, log: DataFrame, variable: str = "question", old_v
 
 # ---- interview duration -------------------------------------------------------
 
-def _minutes(clock: F.Column) -> F.Column:
-    parts = F.split(F.substring(clock, 1, 8), ":")
-    return F.round(F.get(parts, 0).try_cast("double") * 60 + F.get(parts, 1).try_cast("double")
-                   + F.get(parts, 2).try_cast("double") / 60, 2)
+def _minutes(ts: F.Column) -> F.Column:
+    """Clock part of ``YYYY-MM-DDThh:mm:ss...`` in minutes, rounded to 2 decimals."""
+    clock = F.substring_index(ts, "T", -1)
+    h = F.substring(clock, 1, 2).try_cast("double")
+    m = F.substring(clock, 4, 2).try_cast("double")
+    s = F.substring(clock, 7, 2).try_cast("double")
+    return F.round(h * 60 + m + s / 60, 2)
 
 
 def check_time(data: DataFrame, lower: float, upper: float, start: str = "start", end: str = "end") -> DataFrame:
@@ -111,9 +114,9 @@ def check_time(data: DataFrame, lower: float, upper: float, start: str = "start"
         if c not in data.columns:
             raise ValueError(f"data needs to have a column called '{c}' for this function to work")
     data = N.unique_rename(data, "uuid", "uuid")
-    s_parts, e_parts = F.split(col(start), "T"), F.split(col(end), "T")
-    days = F.datediff(F.try_to_date(F.get(e_parts, 0)), F.try_to_date(F.get(s_parts, 0)))
-    minutes = _minutes(F.get(e_parts, 1)) - _minutes(F.get(s_parts, 1))
+    days = F.datediff(F.try_to_date(F.substring_index(col(end), "T", 1)),
+                      F.try_to_date(F.substring_index(col(start), "T", 1)))
+    minutes = _minutes(col(end)) - _minutes(col(start))
     issue = (F.when(minutes <= F.lit(float(lower)), F.lit(TOO_SHORT))
              .when(minutes >= F.lit(float(upper)), F.lit(TOO_LONG)))
     return (data.where(days == 0)

@@ -272,7 +272,7 @@ LOG_QUESTIONS = ("vendor_type", "barrier_finance", "price_usd_economy_1kg", "cre
                  "barrier_transport.road")
 
 
-def log_sql(dialect: str = "spark") -> str:
+def log_sql(dialect: str = "spark", source: str | None = None) -> str:
     """The ``log`` view: one cleaning-log edit per 20th interview, plus stray rows.
 
     The new value equals the cell (applied), is the cell padded with blanks
@@ -280,7 +280,7 @@ def log_sql(dialect: str = "spark") -> str:
     Extra rows point at deleted interviews and at an unknown question.
     """
     q = quoter(dialect)
-    s = f"({survey_sql(dialect)})"
+    s = source or f"({survey_sql(dialect)})"
     kk = f"(s.{q('index')} - 1)"
     turn = f"CAST(floor({kk} / 20) AS BIGINT) % 5"
     cell = (f"CASE {turn} " + " ".join(
@@ -320,19 +320,45 @@ def register_base_tables(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
+_MATERIALIZED: dict[tuple[str, str, str], str] = {}
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived view, written once per application as Parquet and read back.
+
+    The views stand in for the survey tables a user would load from storage;
+    writing them once (under the session's checkpoint folder, shared on a
+    cluster) keeps every query from re-deriving them from the raw tables.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = _MATERIALIZED.get(key)
+    if path is None:
+        register_base_tables(spark, sf_dir)
+        base = ensure_checkpoint_dir(spark).rstrip("/")
+        tag = abs(hash(sf_dir)) % 10**8
+        path = f"{base}/views/{name}-{tag}"
+        build().write.mode("overwrite").parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(path)
+
+
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_base_tables(spark, sf_dir)
-    return spark.sql(survey_sql("spark"))
+    return _view(spark, sf_dir, "survey", lambda: spark.sql(survey_sql("spark")))
+
+
+def _survey_source(spark: SparkSession, sf_dir: str) -> str:
+    survey(spark, sf_dir).createOrReplaceTempView("souk_survey")
+    return "souk_survey"
 
 
 def deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_base_tables(spark, sf_dir)
-    return spark.sql(deletions_sql("spark"))
+    return _view(spark, sf_dir, "deletions", lambda: spark.sql(deletions_sql("spark")))
 
 
 def cleaning_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_base_tables(spark, sf_dir)
-    return spark.sql(log_sql("spark"))
+    return _view(spark, sf_dir, "log", lambda: spark.sql(log_sql("spark", _survey_source(spark, sf_dir))))
 
 
 def tool(spark: SparkSession) -> DataFrame:
@@ -340,15 +366,14 @@ def tool(spark: SparkSession) -> DataFrame:
 
 
 def survey_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_base_tables(spark, sf_dir)
-    return spark.sql(survey_copies_sql("spark"))
+    return _view(spark, sf_dir, "survey_copies",
+                 lambda: spark.sql(survey_copies_sql("spark", _survey_source(spark, sf_dir))))
 
 
 def survey_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_base_tables(spark, sf_dir)
-    return spark.sql(survey_edited_sql("spark"))
+    return _view(spark, sf_dir, "survey_edited",
+                 lambda: spark.sql(survey_edited_sql("spark", _survey_source(spark, sf_dir))))
 
 
 def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_base_tables(spark, sf_dir)
-    return spark.sql(supply_sql("spark"))
+    return _view(spark, sf_dir, "supply", lambda: spark.sql(supply_sql("spark")))
