@@ -75,3 +75,16 @@ def unique_rename(df: DataFrame, contains: str, to: str) -> DataFrame:
     if len(hits) > 1:
         raise ValueError(f"more than one column contains {contains!r}: {hits}")
     return df.withColumnRenamed(hits[0], to) if hits and hits[0] != to else df
+
+
+def drop_all_null_columns(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """Drop columns without any value (one aggregate pass, partial per task)."""
+    from pyspark.sql import functions as F
+
+    keep = set(keep)
+    check = [c for c in df.columns if c not in keep]
+    if not check:
+        return df
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(check)]).first()
+    empty = {c for i, c in enumerate(check) if counts[f"c{i}"] == 0}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in empty])

@@ -300,3 +300,35 @@ def q_enumerator_similarity(spark, d):
     types = Q.tool_types(demo.tool(spark))
     return SIM.enumerator_similarity(_survey(spark, d), types, "enumerator", "call_location",
                                      columns=SILHOUETTE_COLUMNS)
+
+
+# ---- assembled sheets (location rows + _global rows) ------------------------------
+
+@register("sheet_items")
+def q_sheet_items(spark, d):
+    p = I.price_table(_survey(spark, d))
+    return R.with_global(p, R.global_prices(p, "v7"))
+
+
+@register("sheet_stock")
+def q_sheet_stock(spark, d):
+    st = I.stock_table(_survey(spark, d))
+    return R.with_global(st, R.global_stock(st, "v7"))
+
+
+@register("sheet_supplier1")
+def q_sheet_supplier1(spark, d):
+    sh = I.supplier_shares(_survey(spark, d))
+    return R.with_global(sh, R.global_suppliers(sh))
+
+
+@register("sheet_supplier2")
+def q_sheet_supplier2(spark, d):
+    sn = I.supplier_numbers(_survey(spark, d))
+    return R.with_global(sn, R.global_supplier_numbers(sn))
+
+
+@register("sheet_credit2")
+def q_sheet_credit2(spark, d):
+    cn = I.credit_numbers(_survey(spark, d))
+    return R.with_global(cn, R.global_credit_numbers(cn))

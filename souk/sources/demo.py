@@ -338,7 +338,7 @@ def _view(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
         register_base_tables(spark, sf_dir)
         base = ensure_checkpoint_dir(spark).rstrip("/")
         tag = abs(hash(sf_dir)) % 10**8
-        path = f"{base}/views/{name}-{tag}"
+        path = f"{base}/views/{spark.sparkContext.applicationId}/{name}-{tag}"
         build().write.mode("overwrite").parquet(path)
         _MATERIALIZED[key] = path
     return spark.read.parquet(path)

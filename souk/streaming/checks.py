@@ -55,8 +55,11 @@ def outlier_issues(stream: DataFrame, stats: DataFrame, columns: list[str], k: f
              .where(F.col("issue_type").isNotNull()))
 
 
-def start_sink(df: DataFrame, path: str, name: str, available_now: bool = True) -> StreamingQuery:
-    ckpt = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{name}"
+def start_sink(df: DataFrame, path: str, name: str, available_now: bool = True,
+               checkpoint_location: str | None = None) -> StreamingQuery:
+    """Append results to ``path``; progress is kept in ``checkpoint_location``
+    (default: ``<spark.checkpoint.dir>/streams/<name>``) so a restart resumes."""
+    ckpt = checkpoint_location or f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{name}"
     w = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", ckpt) \
         .outputMode("append").queryName(name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -57,13 +57,15 @@ def test_streaming_duration_and_outliers(spark):
     survey.write.mode("overwrite").parquet(f"{src}/batch1")
     stream = checks.read_interviews(spark, f"{src}/batch1", survey.schema)
     sink = tempfile.mkdtemp(prefix="souk-stream-out-")
-    q = checks.start_sink(checks.duration_issues(stream, 5, 60), f"{sink}/dur", "dur_test")
+    q = checks.start_sink(checks.duration_issues(stream, 5, 60), f"{sink}/dur", "dur_test",
+                          checkpoint_location=f"{sink}/_ckpt_dur")
     q.awaitTermination(120)
     got = spark.read.parquet(f"{sink}/dur").count()
     from souk.operators.quality import check_time
     assert got == check_time(survey, 5, 60).count()
     stats = checks.column_stats(survey, ["credit_max_usd"])
     q2 = checks.start_sink(checks.outlier_issues(checks.read_interviews(spark, f"{src}/batch1", survey.schema),
-                                                 stats, ["credit_max_usd"]), f"{sink}/out", "out_test")
+                                                 stats, ["credit_max_usd"]), f"{sink}/out", "out_test",
+                          checkpoint_location=f"{sink}/_ckpt_out")
     q2.awaitTermination(120)
     assert spark.read.parquet(f"{sink}/out").columns == ["index", "value", "variable", "has_issue", "issue_type"]
