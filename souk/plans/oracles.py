@@ -440,6 +440,84 @@ def _compare_sql() -> dict[str, str]:
     }
 
 
+# ---- falsification: independent exact SQL (one-level pigeonhole join; pairwise Gower) ----
+
+def _answer_cols() -> list[str]:
+    from ..operators.quality import NON_ANSWER_TYPES
+    tool = dict(demo.tool_rows())
+    return [c for c in demo.survey_columns()
+            if tool.get(c) not in NON_ANSWER_TYPES and not c.startswith("_") and "/" not in c]
+
+
+def _nearest_sql(max_diff: int, only_found: bool) -> str:
+    cols = _answer_cols()
+    idx = q("index")
+    vals = ", ".join(f"coalesce({demo.render_sql(q(c), _survey_type(c))}, 'NA') AS {q(c)}" for c in cols)
+    bands = []
+    for b in range(max_diff):
+        on = " AND ".join(f"a.{q(c)} = b.{q(c)}" for c in cols[b::max_diff])
+        bands.append(f"SELECT a.id AS i, b.id AS j FROM m a JOIN m b ON {on} WHERE a.id < b.id")
+    dist = " + ".join(f"CASE WHEN a.{q(c)} = b.{q(c)} THEN 0 ELSE 1 END" for c in cols)
+    not_na = " + ".join(f"CASE WHEN {q(c)} <> 'NA' THEN 1 ELSE 0 END" for c in cols)
+    ctes = (f"sample AS ({demo.survey_copies_sql('duckdb', source='survey0')}), "
+            f"m AS (SELECT CAST({idx} AS BIGINT) AS id, {vals} FROM sample), "
+            f"cand AS (SELECT DISTINCT i, j FROM ({' UNION ALL '.join(bands)}) u), "
+            f"scored AS (SELECT cand.i, cand.j, {dist} AS d FROM cand JOIN m a ON a.id = cand.i "
+            f"JOIN m b ON b.id = cand.j), "
+            f"both_dir AS (SELECT i, j, d FROM scored WHERE d < {max_diff} UNION ALL "
+            f"SELECT j AS i, i AS j, d FROM scored WHERE d < {max_diff}), "
+            f"best AS (SELECT i, min(d) AS d FROM both_dir GROUP BY i), "
+            f"nearest AS (SELECT b.i, b.d, min(x.j) AS j FROM best b JOIN both_dir x ON x.i = b.i AND x.d = b.d "
+            f"GROUP BY b.i, b.d)")
+    join = "JOIN" if only_found else "LEFT JOIN"
+    body = (f"SELECT " + ", ".join(f"m.{q(c)}" for c in cols) + f", {not_na} AS n_col_not_na, m.id AS survey_id, "
+            f"nearest.j AS most_similar_survey, CAST(nearest.d AS BIGINT) AS number_different_columns "
+            f"FROM m {join} nearest ON nearest.i = m.id")
+    return with_survey(body, ctes, materialized=("sample", "m", "scored", "both_dir"))
+
+
+def _silhouette_sql(columns: list[str]) -> str:
+    from .registry import SILHOUETTE_COLUMNS  # noqa: F401  (same list as the registered query)
+    tool = dict(demo.tool_rows())
+    num = [c for c in columns if tool.get(c) in ("integer", "decimal", "calculate")] + ["n"]
+    cat = [LOC.strip('"')] + [c for c in columns if c not in num]
+    conv = ", ".join(
+        (f"TRY_CAST(trim({demo.render_sql(q(c), _survey_type(c))}) AS DOUBLE) AS {q(c)}" if c in num
+         else f"{demo.render_sql(q(c), _survey_type(c))} AS {q(c)}") for c in cat + num if c != "n")
+    feats = cat + num
+    parts_num, parts_den = [], []
+    for c in feats:
+        a, b = f"a.{q(c)}", f"b.{q(c)}"
+        both = f"({a} IS NOT NULL AND {b} IS NOT NULL)"
+        if c in num:
+            d = f"CASE WHEN r.{q('r_' + c)} > 0 THEN abs({a} - {b}) / r.{q('r_' + c)} ELSE 0 END"
+        else:
+            d = f"CASE WHEN {a} = {b} THEN 0 ELSE 1 END"
+        parts_num.append(f"CASE WHEN {both} THEN {d} ELSE 0 END")
+        parts_den.append(f"CASE WHEN {both} THEN 1 ELSE 0 END")
+    ranges = ", ".join(f"max({q(c)}) - min({q(c)}) AS {q('r_' + c)}" for c in num)
+    enum = q("enumerator")
+    ctes = (f"t AS (SELECT CAST({q('index')} AS BIGINT) AS id, {enum} AS enum, {conv} FROM survey "
+            f"WHERE {LOC} IS NOT NULL AND {enum} IS NOT NULL), "
+            f"sz AS (SELECT {LOC}, enum, count(*) AS n FROM t GROUP BY ALL), "
+            f"k AS (SELECT {LOC} FROM sz WHERE n >= 5 GROUP BY {LOC} HAVING count(*) > 1), "
+            f"rows AS (SELECT t.*, CAST(sz.n AS DOUBLE) AS n, sz.n AS nc FROM t JOIN sz USING ({LOC}, enum) "
+            f"WHERE sz.n >= 5 AND {LOC} IN (SELECT {LOC} FROM k)), "
+            f"r AS (SELECT {LOC}, {ranges} FROM rows GROUP BY {LOC}), "
+            f"pairs AS (SELECT a.id AS i, a.{LOC} AS area, a.enum AS own, a.nc AS nown, b.enum AS c, b.nc AS nc, "
+            f"({' + '.join(parts_num)}) / ({' + '.join(parts_den)}) AS d FROM rows a JOIN rows b "
+            f"ON a.{LOC} = b.{LOC} AND a.id <> b.id JOIN r ON r.{LOC} = a.{LOC}), "
+            f"per AS (SELECT i, area, own, nown, c, sum(d) / max(CASE WHEN c = own THEN nc - 1 ELSE nc END) AS md "
+            f"FROM pairs GROUP BY ALL), "
+            f"ab AS (SELECT i, area, own, nown, max(CASE WHEN c = own THEN md END) AS a, "
+            f"min(CASE WHEN c <> own THEN md END) AS b FROM per GROUP BY ALL), "
+            f"s AS (SELECT area, own, CASE WHEN nown > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) "
+            f"ELSE 0 END AS s FROM ab)")
+    body = (f"SELECT s.area AS {LOC}, s.own AS {enum}, sz.n AS num_surveys, round(avg(s.s), 6) AS si "
+            f"FROM s JOIN sz ON sz.{LOC} = s.area AND sz.enum = s.own GROUP BY s.area, s.own, sz.n")
+    return with_survey(body, ctes, materialized=("t", "rows", "pairs"))
+
+
 _base_oracle_sql = oracle_sql
 
 
@@ -448,6 +526,10 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     out.update(_supply_sql())
     out.update(_validation_sql())
     out.update(_compare_sql())
+    from .registry import SILHOUETTE_COLUMNS
+    out["near_duplicates"] = _nearest_sql(5, True)
+    out["nearest_survey"] = _nearest_sql(10, False)
+    out["enumerator_similarity"] = _silhouette_sql(list(SILHOUETTE_COLUMNS))
     for sheet, local, glob in (("sheet_items", "price_table", "global_prices"),
                                ("sheet_stock", "stock_table", "global_stock"),
                                ("sheet_supplier1", "supplier_shares", "global_suppliers"),
