@@ -68,13 +68,26 @@ def _aligned(x: DataFrame, y: DataFrame, by: Sequence[str] | None) -> tuple[Data
     return j, by
 
 
-def _differs(a: F.Column, b: F.Column, kind: str, tol: float) -> F.Column:
-    one_null = a.isNull() != b.isNull()
+def _differs(a: str, b: str, kind: str, tol: float) -> str:
+    """SQL text: both null = equal, one null = different, numbers within ``tol``."""
+    a, b = f"`{a}`", f"`{b}`"
     if kind == "number":
-        neq = F.abs(a.cast("double") - b.cast("double")) > F.lit(tol)
+        neq = f"abs(CAST({a} AS DOUBLE) - CAST({b} AS DOUBLE)) > {tol!r}"
     else:
-        neq = a != b
-    return one_null | (a.isNotNull() & b.isNotNull() & neq)
+        neq = f"{a} <> {b}"
+    return f"(({a} IS NULL) <> ({b} IS NULL) OR ({a} IS NOT NULL AND {b} IS NOT NULL AND {neq}))"
+
+
+def _text_sql(name: str, dt: T.DataType) -> str:
+    """SQL text rendering of a cell (whole doubles without a fraction), as ``render_text``."""
+    c = f"`{name}`"
+    if isinstance(dt, (T.DoubleType, T.FloatType, T.DecimalType)):
+        d = f"CAST({c} AS DOUBLE)"
+        return (f"CASE WHEN {d} = floor({d}) AND abs({d}) < 1e15 THEN CAST(CAST({d} AS BIGINT) AS STRING) "
+                f"ELSE CAST({d} AS STRING) END")
+    if isinstance(dt, T.BooleanType):
+        return f"CASE WHEN {c} THEN 'TRUE' WHEN NOT {c} THEN 'FALSE' END"
+    return f"CAST({c} AS STRING)"
 
 
 def compare_tables(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None,
@@ -84,19 +97,18 @@ def compare_tables(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None,
     rep = schema_report(x, y, by)
     tx = {f.name: f.dataType for f in x.schema.fields}
     ty = {f.name: f.dataType for f in y.schema.fields}
-    cells = []
-    for i, c in enumerate(rep["compared"]):
-        a, b = F.col(f"__x{i}"), F.col(f"__y{i}")
-        cells.append(F.struct(F.lit(c).alias("variable"), render_text(a, tx[c]).alias("value_x"),
-                              render_text(b, ty[c]).alias("value_y"),
-                              _differs(a, b, _kind(tx[c]), tol).alias("d")))
+    keys = [col(k) for k in by]
     both = j.where(F.col("__in_x") & F.col("__in_y"))
-    if not cells:
-        return both.select(*[col(k) for k in by], F.lit(None).cast("string").alias("variable"),
+    if not rep["compared"]:
+        return both.select(*keys, F.lit(None).cast("string").alias("variable"),
                            F.lit(None).cast("string").alias("value_x"),
                            F.lit(None).cast("string").alias("value_y")).limit(0)
-    exploded = both.select(*[col(k) for k in by], F.explode(F.filter(F.array(*cells), lambda s: s["d"])).alias("c"))
-    return exploded.select(*[col(k) for k in by], "c.variable", "c.value_x", "c.value_y")
+    cells = ", ".join(
+        f"named_struct('variable', '{c}', 'value_x', {_text_sql(f'__x{i}', tx[c])}, "
+        f"'value_y', {_text_sql(f'__y{i}', ty[c])}, 'd', {_differs(f'__x{i}', f'__y{i}', _kind(tx[c]), tol)})"
+        for i, c in enumerate(rep["compared"]))
+    exploded = both.select(*keys, F.expr(f"explode(filter(array({cells}), s -> s.d))").alias("c"))
+    return exploded.select(*keys, "c.variable", "c.value_x", "c.value_y")
 
 
 def compare_summary(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None,
@@ -110,23 +122,26 @@ def compare_summary(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None,
     j, by = _aligned(x, y, by)
     rep = schema_report(x, y, by)
     kind = {f.name: _kind(f.dataType) for f in x.schema.fields}
-    both = F.col("__in_x") & F.col("__in_y")
-    aggs = [F.sum(F.col("__in_x").cast("long")).alias("nrow_x"), F.sum(F.col("__in_y").cast("long")).alias("nrow_y"),
-            F.sum((F.col("__in_x") & ~F.col("__in_y")).cast("long")).alias("rows_only_x"),
-            F.sum((F.col("__in_y") & ~F.col("__in_x")).cast("long")).alias("rows_only_y"),
-            F.sum(both.cast("long")).alias("rows_both")]
+    both = "(__in_x AND __in_y)"
+    aggs = ["CAST(coalesce(sum(CAST(__in_x AS BIGINT)), 0) AS BIGINT) AS nrow_x",
+            "CAST(coalesce(sum(CAST(__in_y AS BIGINT)), 0) AS BIGINT) AS nrow_y",
+            "CAST(coalesce(sum(CAST(__in_x AND NOT __in_y AS BIGINT)), 0) AS BIGINT) AS rows_only_x",
+            "CAST(coalesce(sum(CAST(__in_y AND NOT __in_x AS BIGINT)), 0) AS BIGINT) AS rows_only_y",
+            f"CAST(coalesce(sum(CAST({both} AS BIGINT)), 0) AS BIGINT) AS rows_both"]
     for i, c in enumerate(rep["compared"]):
-        d = both & _differs(F.col(f"__x{i}"), F.col(f"__y{i}"), kind[c], tol)
-        aggs.append(F.sum(d.cast("long")).alias(f"diff:{c}"))
-    counts = j.agg(*aggs)
-    names = [a for a in counts.columns]
+        d = _differs(f"__x{i}", f"__y{i}", kind[c], tol)
+        aggs.append(f"CAST(coalesce(sum(CAST({both} AND {d} AS BIGINT)), 0) AS BIGINT) AS `diff:{c}`")
     fixed = {"ncol_x": len(x.columns), "ncol_y": len(y.columns), "ncol_shared": len(rep["compared"]) +
              len(rep["not_compared"]), "ncol_not_compared": len(rep["not_compared"]),
              "ncol_only_x": len(rep["only_x"]), "ncol_only_y": len(rep["only_y"])}
-    long = counts.select(*[F.coalesce(col(n), F.lit(0)).cast("long").alias(n) for n in names],
-                         *[F.lit(v).cast("long").alias(k) for k, v in fixed.items()])
-    allnames = names + list(fixed)
-    return long.unpivot([], [col(n) for n in allnames], "item", "value")
+    counts = j.selectExpr(*[f"{k} AS `{k}`" for k in ("__in_x", "__in_y")],
+                          *[f"`__x{i}`" for i in range(len(rep["compared"]))],
+                          *[f"`__y{i}`" for i in range(len(rep["compared"]))]) \
+        .groupBy().agg(*[F.expr(a) for a in aggs])
+    names = counts.columns
+    stack = ", ".join(f"'{n}', `{n}`" for n in names) + ", " + ", ".join(
+        f"'{k}', CAST({v} AS BIGINT)" for k, v in fixed.items())
+    return counts.selectExpr(f"stack({len(names) + len(fixed)}, {stack}) AS (item, value)")
 
 
 def compare_bundles(a: dict[str, DataFrame], b: dict[str, DataFrame], keys: dict[str, Sequence[str]] | None = None,
