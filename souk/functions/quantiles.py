@@ -62,9 +62,6 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     # 1. distinct values and multiplicities (nulls kept so the grid survives)
     vc = (df.select(*k_cols, col(value).cast("double").alias("_v"))
             .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    sizes = vc.groupBy(*keys).agg(F.sum(F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(0))
-                                  .cast("long").alias("_n"))
-
     vals = vc.where(F.col("_v").isNotNull()).withColumn("_b", order_bucket(F.col("_v")))
 
     # 2. buckets: counts, running sum, and the wanted ranks each one holds
@@ -74,6 +71,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
               .withColumn("_hi", F.sum("_bc").over(running))
               .withColumn("_n", F.sum("_bc").over(by_group))
               .withColumn("_lo", F.col("_hi") - F.col("_bc")))
+    # group sizes from the (small) bucket table; groups holding only nulls come
+    # from their single null row in ``vc`` (no extra pass over the values)
+    counted = bk.groupBy(*keys).agg(F.sum("_bc").cast("long").alias("_n"))
+    null_only = null_safe_join(vc.where(F.col("_v").isNull()).select(*k_cols), counted, keys, "left_anti")
+    sizes = counted.unionByName(null_only.select(*k_cols, F.lit(0).cast("long").alias("_n")))
     wanted = []
     for i, p in enumerate(probs):
         h = (F.col("_n") - 1) * F.lit(p)
