@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sem import col, render_text
+from ..functions.sem import col, null_safe_join, render_text
 
 
 def long_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
@@ -40,14 +40,15 @@ def answer_counts(df: DataFrame, columns: Sequence[str], loc: str = "call_locati
 def shares_from_counts(counts: DataFrame, group: Sequence[str]) -> DataFrame:
     """Share of each non-null answer among the non-null answers of its group.
 
-    The counts table is small (groups x questions x distinct answers), so the
-    denominator is a window sum over it rather than a join back.
+    The denominator is a grouped sum over the counts table (one row per group
+    and question) joined back on the group keys, so a question with many
+    distinct answers (free text) never sits in one window partition.
     """
-    w = Window.partitionBy(*[col(g) for g in group], F.col("name"))
-    nn = F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).over(w)
-    return (counts.withColumn("nn", nn)
-                  .where(F.col("value").isNotNull())
-                  .withColumn("pc", F.col("n") / F.col("nn")))
+    keys = list(group) + ["name"]
+    answered = counts.where(F.col("value").isNotNull())
+    nn = answered.groupBy(*[col(k) for k in keys]).agg(F.sum("n").alias("nn"))
+    return (null_safe_join(answered, nn, keys, "inner")
+            .withColumn("pc", F.col("n") / F.col("nn")))
 
 
 def answer_shares(df: DataFrame, columns: Sequence[str], loc: str = "call_location") -> DataFrame:
