@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import indicators as I
 from ..operators import rollup as R
+from ..operators.reshape import pivot_wide
 from ..sources.io import write_bundle
 
 SHEETS = ("items", "stock", "barrier", "payment", "supplier1", "supplier2", "credit1", "credit2")
@@ -32,9 +33,11 @@ def analyse(survey: DataFrame, location: str = "all", date: str = "2008", method
         payment = R.global_shares_wide(I.payment_shares(df))
         credit = R.global_shares_wide(I.credit_shares(df))
     else:
+        # v6: location and _global rows pivoted wide, no zero fill, every column
+        # (the location too) sorted by name
         barrier, payment, credit = (
-            R.with_global(s, R.global_shares_v6(s)) for s in
-            (I.barrier_shares(df), I.payment_shares(df), I.credit_shares(df)))
+            _sorted_columns(pivot_wide(R.with_global(s, R.global_shares_v6(s)), "call_location", "item", "pc"))
+            for s in (I.barrier_shares(df), I.payment_shares(df), I.credit_shares(df)))
     return {
         "items": I.ordered(R.with_global(prices, R.global_prices(prices, method)), "vendor_type", "item"),
         "stock": I.ordered(R.with_global(stock, R.global_stock(stock, method)), "vendor_type", "item"),
@@ -47,5 +50,9 @@ def analyse(survey: DataFrame, location: str = "all", date: str = "2008", method
     }
 
 
+def _sorted_columns(df: DataFrame) -> DataFrame:
+    return df.select(*[df[f"`{c}`"] for c in sorted(df.columns)])
+
+
 def write_analysis(sheets: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
     write_bundle({k: sheets[k] for k in SHEETS if k in sheets}, path, fmt=fmt)

@@ -69,3 +69,11 @@ def test_streaming_duration_and_outliers(spark):
                           checkpoint_location=f"{sink}/_ckpt_out")
     q2.awaitTermination(120)
     assert spark.read.parquet(f"{sink}/out").columns == ["index", "value", "variable", "has_issue", "issue_type"]
+
+
+def test_v6_share_sheets_are_wide_and_sorted(spark):
+    sheets = analyse(demo.survey(spark, SF001), method="v6")
+    cols = sheets["barrier"].columns
+    assert cols == sorted(cols) and "call_location" in cols
+    glob = sheets["barrier"].where(F.col("call_location") == "_global").collect()
+    assert len(glob) == 1
