@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sem import col, is_numeric, render_text
+from ..functions.sem import col, is_numeric
 from ..sources.io import with_row_index
 
 DEFAULT_TOL = 1.5e-8

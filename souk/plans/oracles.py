@@ -263,11 +263,6 @@ def oracle_sql() -> dict[str, str]:
 def _supply_sql() -> dict[str, str]:
     sup = f"supply AS ({demo.supply_sql('duckdb')})"
     origin = f"coalesce({q('supplier_district')}, {q('supplier_country')})"
-    pairs = with_survey(
-        f"SELECT pair, {q('supplier_route')} AS nm, count(*) AS n FROM "
-        f"(SELECT {q('supplier_destination')} || '__' || {origin} AS pair, {q('supplier_route')} FROM supply) s "
-        f"GROUP BY ALL", sup)
-    pairs = pairs.replace(" SELECT pair, ", " , c AS (SELECT pair, ", 1) if False else pairs
     items = ["supplier_items.rice", "supplier_items.oil", "supplier_items.soap"]
     sums = ", ".join(f"CAST(sum({q(i)}) AS BIGINT) AS {q(i)}" for i in items)
     unp = " UNION ALL ".join(
@@ -382,9 +377,6 @@ def _validation_sql() -> dict[str, str]:
     }
 
 
-_SURVEY_TYPES = None
-
-
 def _survey_type(c: str) -> str:
     ints = {"barrier_transport.road", "barrier_transport.cost", "payment_mode.cash", "payment_mode.mobile",
             "cva_effect.stock", "supplier_number", "index"}
@@ -477,7 +469,6 @@ def _nearest_sql(max_diff: int, only_found: bool) -> str:
 
 
 def _silhouette_sql(columns: list[str]) -> str:
-    from .registry import SILHOUETTE_COLUMNS  # noqa: F401  (same list as the registered query)
     tool = dict(demo.tool_rows())
     num = [c for c in columns if tool.get(c) in ("integer", "decimal", "calculate")] + ["n"]
     cat = [LOC.strip('"')] + [c for c in columns if c not in num]
