@@ -41,8 +41,11 @@ def order_bucket(v: Column) -> Column:
     a = F.abs(v)
     e = F.floor(F.log2(a))
     m = F.floor((a / F.pow(F.lit(2.0), e) - F.lit(1.0)) * F.lit(float(_MANTISSA_BUCKETS)))
-    mag = (e + F.lit(_EXP_OFFSET)) * F.lit(_MANTISSA_BUCKETS) + m
-    return F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0)).cast("long")
+    mag = ((e + F.lit(_EXP_OFFSET)) * F.lit(_MANTISSA_BUCKETS) + m).cast("long")
+    # infinities and NaN (which Spark orders above everything) get sentinel buckets
+    top = F.lit(1 << 40)
+    return (F.when(F.isnan(v), top + 1).when(v == float("inf"), top).when(v == float("-inf"), -top)
+             .when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0).cast("long")))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -115,5 +118,6 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         h = (F.col("_n") - 1) * F.lit(p)
         frac = h - F.floor(h)
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        cols.append(F.when(F.col("_n") > 0, lo + frac * (hi - lo)).alias(name))
+        # a whole rank returns the ranked value itself (no 0 * inf)
+        cols.append(F.when(F.col("_n") > 0, F.when(frac == 0, lo).otherwise(lo + frac * (hi - lo))).alias(name))
     return out.select(*cols)

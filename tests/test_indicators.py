@@ -33,6 +33,17 @@ def test_exact_quantiles_match_percentile_on_many_groups(spark):
         assert got[g] == pytest.approx(ref[g], abs=1e-12)
 
 
+def test_quantiles_with_infinities_and_nan(spark):
+    vals = [1.0, float("inf"), float("-inf"), 3.0, float("nan"), 2.0, 1e308, -5e-324]
+    df = spark.createDataFrame([("g", v) for v in vals], "g string, v double")
+    got = exact_quantiles(df, ["g"], "v", probs=(0.0, 0.25, 0.5, 0.75, 1.0),
+                          names=("p0", "p25", "p50", "p75", "p100")).collect()[0]
+    ref = df.groupBy("g").agg(F.percentile("v", [0.0, 0.25, 0.5, 0.75, 1.0]).alias("p")).collect()[0]["p"]
+    for name, want in zip(("p0", "p25", "p50", "p75", "p100"), ref):
+        g = got[name]
+        assert (g != g and want != want) or g == want
+
+
 def _survey(spark, rows, extra_schema=""):
     schema = "call_location string, vendor_type string, price_usd_rice_1kg double, price_usd_water_truck_20l double"
     return spark.createDataFrame(rows, schema + extra_schema)
