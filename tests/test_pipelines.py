@@ -77,3 +77,20 @@ def test_v6_share_sheets_are_wide_and_sorted(spark):
     assert cols == sorted(cols) and "call_location" in cols
     glob = sheets["barrier"].where(F.col("call_location") == "_global").collect()
     assert len(glob) == 1
+
+
+def test_command_line_analyse_and_compare_from_csv(spark):
+    from souk.__main__ import main
+    folder = tempfile.mkdtemp(prefix="souk-cli-")
+    survey = demo.survey(spark, SF001)
+    survey.coalesce(1).write.option("header", True).csv(f"{folder}/survey_csv")
+    import glob
+    csv_file = glob.glob(f"{folder}/survey_csv/*.csv")[0]
+    assert main(["analyse", "--survey", csv_file, "--out", f"{folder}/a"]) == 0
+    assert main(["analyse", "--survey", csv_file, "--out", f"{folder}/b"]) == 0
+    assert main(["compare", "--a", f"{folder}/a", "--b", f"{folder}/b", "--out", f"{folder}/cmp"]) == 0
+    cmp = spark.read.parquet(f"{folder}/cmp")
+    diffs = cmp.where(F.col("item").startswith("diff:") & (F.col("value") > 0)).count()
+    assert diffs == 0
+    items = read_bundle(spark, f"{folder}/a")["items"]
+    assert items.where(F.col("call_location") == "_global").count() > 0
