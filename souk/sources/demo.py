@@ -55,12 +55,16 @@ def survey_sql(dialect: str = "spark") -> str:
         line_aggs.append(f"sum(CASE WHEN p.p_type = '{p}' THEN l.l_quantity END) AS qt_{low}")
         line_aggs.append(f"avg(CASE WHEN p.p_type = '{p}' THEN l.l_linenumber END) AS ln_{low}")
     line_aggs += [
-        "count(DISTINCT l.l_suppkey) AS n_supp",
         "sum(l.l_quantity) AS qty_all",
         "min(l.l_returnflag) AS flag",
     ]
-    lines = ("SELECT l.l_orderkey AS okey, " + ", ".join(line_aggs)
-             + " FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey")
+    # distinct suppliers per order: its own two-step aggregate (order, supplier)
+    # -> order, so the conditional sums above need no distinct expansion
+    supp = ("SELECT okey, count(*) AS n_supp FROM (SELECT DISTINCT l_orderkey AS okey, l_suppkey "
+            "FROM lineitem) ds GROUP BY okey")
+    lines = ("SELECT a.*, s.n_supp FROM (SELECT l.l_orderkey AS okey, " + ", ".join(line_aggs)
+             + " FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey) a "
+             f"LEFT JOIN ({supp}) s ON s.okey = a.okey")
 
     day = "CAST(CAST(b.o_orderdate AS DATE) AS STRING)"
     next_day = "CAST(CAST(CAST(b.o_orderdate AS DATE) + INTERVAL '1' DAY AS DATE) AS STRING)"
