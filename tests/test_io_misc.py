@@ -60,3 +60,17 @@ def test_unique_rename_guard(spark):
     import pytest
     with pytest.raises(ValueError):
         N.unique_rename(spark.createDataFrame([], "a_uuid string, b_uuid string"), "uuid", "uuid")
+
+
+def test_compare_runs_reports_missing_sheets(spark):
+    from souk.plans.comparison import compare_runs
+
+    folder = tempfile.mkdtemp(prefix="souk-test-")
+    items = spark.createDataFrame([("A", "Rice", "shop", 3)], "call_location string, item string, "
+                                                               "vendor_type string, nv long")
+    barrier = spark.createDataFrame([("A", 0.5)], "call_location string, q__x double")
+    io.write_bundle({"items": items, "barrier": barrier}, f"{folder}/a")
+    io.write_bundle({"items": items.withColumn("nv", F.lit(4).cast("long"))}, f"{folder}/b")
+    got = {(r["sheet"], r["item"]): r["value"] for r in compare_runs(spark, f"{folder}/a", f"{folder}/b").collect()}
+    assert got[("items", "diff:nv")] == 1
+    assert got[("barrier", "sheet_missing_in_b")] == 1
