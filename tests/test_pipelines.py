@@ -94,3 +94,19 @@ def test_command_line_analyse_and_compare_from_csv(spark):
     assert diffs == 0
     items = read_bundle(spark, f"{folder}/a")["items"]
     assert items.where(F.col("call_location") == "_global").count() > 0
+
+
+def test_command_line_validate_from_csv(spark):
+    import glob
+
+    from souk.__main__ import main
+    folder = tempfile.mkdtemp(prefix="souk-cli-")
+    paths = {}
+    for name, df in (("data", demo.survey(spark, SF001)), ("log", demo.cleaning_log(spark, SF001)),
+                     ("deletions", demo.deletions(spark, SF001)), ("tool", demo.tool(spark))):
+        df.coalesce(1).write.option("header", True).csv(f"{folder}/{name}_csv")
+        paths[name] = glob.glob(f"{folder}/{name}_csv/*.csv")[0]
+    assert main(["validate", "--data", paths["data"], "--log", paths["log"], "--deletions", paths["deletions"],
+                 "--tool", paths["tool"], "--out", f"{folder}/checks"]) == 0
+    outs = {p.split("/")[-1].rsplit("_", 1)[0] for p in glob.glob(f"{folder}/checks/*")}
+    assert {"cleaning_log_not_applied", "uuid_not_in_dataset", "similar_surveys", "enumerator_similarity"} <= outs
