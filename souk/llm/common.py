@@ -67,7 +67,7 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.empty(0, np.int32)]).astype(np.int32)))
 
 
-def map_text(df: DataFrame, schema: str, step: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | dict]]) -> DataFrame:
+def map_text(df: DataFrame, schema, step: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | dict]]) -> DataFrame:
     """``mapInArrow`` where ``step()`` builds, once per task, a function from batch to columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = step()

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import bpe, simhash
-from souk.llm.common import table
+from souk.llm import bpe, langid, secrets, simhash, tokenfile, toxicity
+from souk.llm.common import scratch_dir, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -21,6 +21,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and inferred secret spans of every document, counts and digests."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.learn(docs))
+    base = F.filter("spans", lambda s: s["kind"] != "format")
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, count and checksum of every document's ids, as read back from the token files."""
+    path = scratch_dir(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), end_id=0)
+    return tokenfile.read_digests(spark, path)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and the decoded bytes of every document."""
     import public_tokenizers
@@ -28,9 +44,23 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; learned outside the part crc32 mod 3 = 1."""
+    return toxicity.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), parts=3, held_out=1, threshold=0.7)
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned outside the part crc32 mod 4 = 2."""
+    return langid.identify_all(table(spark, sf_dir, "documents"), parts=4, held_out=2)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op6_secrets": op6_secrets,
+    "op7_token_file": op7_token_file,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_toxicity": op9_toxicity,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {}
