@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import bpe, langid, secrets, simhash, tokenfile, toxicity
+from souk.llm import bpe, decontaminate, langid, quality_rules, secrets, simhash, tokenfile, toxicity
 from souk.llm.common import scratch_dir, table
 
 
@@ -21,6 +21,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document by its cell's adaptive limits."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) leak within a tenth of the item's length in edits."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), error_rate=0.1)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and inferred secret spans of every document, counts and digests."""
     docs = table(spark, sf_dir, "documents")
@@ -56,6 +66,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_quality_rules": op2_quality_rules,
+    "op4_decontaminate": op4_decontaminate,
     "op6_secrets": op6_secrets,
     "op7_token_file": op7_token_file,
     "op8_byte_bpe": op8_byte_bpe,
