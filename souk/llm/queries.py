@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import bpe, decontaminate, langid, quality_rules, secrets, simhash, tokenfile, toxicity
+from souk.llm import bpe, decontaminate, html_text, langid, quality_mil, quality_rules, secrets, simhash, tokenfile, toxicity
 from souk.llm.common import scratch_dir, table
 
 
@@ -26,11 +26,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) leak within a tenth of the item's length in edits."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), error_rate=0.1)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learned outside the part crc32 mod 5 = 0."""
+    return quality_mil.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), parts=5, held_out=0, threshold=0.3)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and inferred secret spans of every document, counts and digests."""
     docs = table(spark, sf_dir, "documents")
@@ -67,7 +77,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
+    "op3_html_text": op3_html_text,
     "op4_decontaminate": op4_decontaminate,
+    "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op7_token_file": op7_token_file,
     "op8_byte_bpe": op8_byte_bpe,
