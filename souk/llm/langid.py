@@ -95,11 +95,12 @@ class Automata:
         lettered = np.bincount(owner, weights=chars >= OTHER, minlength=len(texts)) > 0
         for n, (language, step) in enumerate(zip(self.languages, self.step)):
             state = np.zeros(grid.shape[1], step.dtype)
-            phrases = np.ones(grid.shape[1], np.int32)  # the one open at the end
+            phrases = np.zeros(grid.shape[1], np.int32)
             for column in grid:
                 move = step[state + column]
                 phrases += move & 3
                 state = move >> 2
+            phrases += state != 0  # the one open at the end
             total = np.bincount(lane_owner, weights=phrases, minlength=len(texts))
             bits = math.log2(self.length[language])
             result[lettered, n] = total[lettered] * bits / size[lettered]
