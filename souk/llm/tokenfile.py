@@ -23,8 +23,8 @@ binaryFile source, one file at a time in a task; a document's global start is
 its start in the file plus a two-level running sum of the files' sizes.
 
 Encoding uses the tokenizers library. A text is cut at its single spaces and
-line breaks, where a token always ends, and the ids of pieces met before
-are kept in a bounded table of the task.
+line breaks and before the marks that end a word, where a token always ends, and
+the ids of words met before are kept in a bounded table of the Python worker.
 
 Defined results: null text counts as empty: only the end id; repeated rows are
 written each; other columns are ignored; an empty table gives no file.
@@ -130,11 +130,17 @@ def documents(data: bytes):
 
 # ------------------------------------------------------------------- encoding
 class PieceEncoder:
-    """uint32 ids (as bytes) of whole texts; pieces met before are looked up."""
+    """uint32 ids (as bytes) of whole texts; words met before are looked up.
 
-    ODD = re.compile("  |\n\n| \n|\n |^[ \n]|[ \n]\\Z|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+    A text is cut before its single spaces and line breaks, and before the marks that
+    end a word: the tokenizer's pattern always ends a match there. ``kept`` words
+    stay in the table, those of up to ``kept_chars`` characters."""
 
-    def __init__(self, path: str, kept: int = 400_000, kept_chars: int = 48):
+    DOUBLE = ("  ", "\n\n", " \n", "\n ")
+    OTHER_GAP = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+    MARKS = ".,;:!?|#*$%&"
+
+    def __init__(self, path: str, kept: int = 200_000, kept_chars: int = 40):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -144,8 +150,23 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.table: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
         self.kept, self.kept_chars = kept, kept_chars
 
+    @classmethod
+    def of_worker(cls, path: str) -> PieceEncoder:
+        """The Python worker's encoder for a file: its tasks share the table."""
+        import tokenizers
+
+        encoders = tokenizers.__dict__.setdefault("souk_encoders", {})
+        if path not in encoders:
+            encoders[path] = cls(path)
+        return encoders[path]
+
+    def odd(self, text: str) -> bool:
+        """Whether a text has white space other than single spaces and line breaks inside."""
+        return text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self.DOUBLE) or bool(self.OTHER_GAP.search(text))
+
     def plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
@@ -155,7 +176,7 @@ class PieceEncoder:
         pieces is always a token of its own, so that it tells their ids apart."""
         joined = ["\n".join(texts[i:i + at_once]) for i in range(0, len(texts), at_once)]
         out = []
-        for data in self.plain(joined):
+        for data in self.plain(joined) if texts else []:
             ids = np.frombuffer(data, "<u4")
             breaks = np.flatnonzero(ids == self.line_break)
             start = [0, *(4 * breaks + 4).tolist()]
@@ -164,37 +185,55 @@ class PieceEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """A piece is the text from a single space or line break up to the next; the table's
-        keys leave out the space."""
-        get, line_break = self.table.get, np.array([self.line_break], "<u4").tobytes()
-        rows, new = [], {}
+        """The table's keys leave out a word's space; a word that begins a line has the line break."""
+        get, ends, marks = self.table.get, self.ends, self.MARKS
+        line_break = np.array([self.line_break], "<u4").tobytes()
+        rows, new, new_ends = [], {}, {}
         for text in texts:
-            if not text or self.ODD.search(text):
+            if not text or self.odd(text):
                 rows.append(None)
                 continue
             keys = ("\n" + text.replace("\n", " \n")).split(" ")
             values = list(map(get, keys))
-            rows.append((keys, values))
+            tails = None
             if None in values:
-                for key, value in zip(keys, values):
+                tails = {}
+                for at, value in enumerate(values):
+                    if value is not None:
+                        continue
+                    key = keys[at]
+                    core = key.rstrip(marks)
+                    if core is not key and core and core[-1].isalnum():
+                        tail = key[len(core):]
+                        if tail not in ends:
+                            new_ends[tail] = tail
+                        tails[at] = tail
+                        keys[at] = key = core
+                        values[at] = value = get(core)
                     if value is None:
                         new[key] = key[1:] if key[0] == "\n" else " " + key
+            rows.append((keys, values, tails))
         fresh = dict(zip(new, self.pieces(list(new.values()))))
         for key, data in fresh.items():
             if key[0] == "\n":
                 fresh[key] = line_break + data
-        if len(self.table) < self.kept:
-            self.table.update((k, v) for k, v in fresh.items() if len(k) <= self.kept_chars)
+        ends.update(zip(new_ends, self.pieces(list(new_ends))))
         whole = iter(self.plain([t for t, row in zip(texts, rows) if t and row is None]))
         ids = []
         for text, row in zip(texts, rows):
             if row is None:
                 ids.append(next(whole) if text else b"")
                 continue
-            keys, values = row
-            if None in values:
+            keys, values, tails = row
+            if tails is not None:
                 values = [fresh[k] if v is None else v for k, v in zip(keys, values)]
-            ids.append(b"".join(values)[4:])  # the first piece follows no line break
+                for at, tail in tails.items():
+                    values[at] += ends[tail]
+            ids.append(b"".join(values)[4:])  # the first word follows no line break
+        if len(self.table) < self.kept:
+            self.table.update((k, v) for k, v in fresh.items() if len(k) <= self.kept_chars)
+        if len(ends) > 10_000:
+            ends.clear()
         return ids
 
 
@@ -208,7 +247,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, plan
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder = PieceEncoder(tokenizer_path)
+        encoder = PieceEncoder.of_worker(tokenizer_path)
         part, number = TaskContext.get().partitionId(), 0
         doc_ids, counts, held, size = [], [], [], 0
 
