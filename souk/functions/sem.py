@@ -21,7 +21,7 @@ WHITESPACE = " \t\r\n"
 
 def col(name: str) -> Column:
     """Column by exact name; dotted option names are not struct paths."""
-    return F.col(f"`{name}`")
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def is_numeric(dtype: T.DataType) -> bool:
@@ -67,7 +67,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
         return joined.withColumnsRenamed({v: k for k, v in lk.items()})
     keyed = [F.coalesce(F.col(lk[k]), F.col(rk[k])).alias(k) if how in ("full", "full_outer", "outer", "right", "right_outer")
              else F.col(lk[k]).alias(k) for k in keys]
-    rest = [F.col(f"`{c}`") for c in joined.columns if c not in lk.values() and c not in rk.values()]
+    rest = [col(c) for c in joined.columns if c not in lk.values() and c not in rk.values()]
     return joined.select(*keyed, *rest)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sem import col, is_numeric
+from ..functions.sem import col, is_numeric, null_safe_join
 from ..sources.io import with_row_index
 
 DEFAULT_TOL = 1.5e-8
@@ -43,11 +43,11 @@ def schema_report(x: DataFrame, y: DataFrame, by: Sequence[str]) -> dict[str, li
     }
 
 
-def _aligned(x: DataFrame, y: DataFrame, by: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
+def _aligned(x: DataFrame, y: DataFrame, by: Sequence[str] | None, order: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
     if not by:
-        # positional alignment: row numbers in each table's own order
-        x = with_row_index(x, [], "__row")
-        y = with_row_index(y, [], "__row")
+        # positional alignment: row numbers in the declared order of each table
+        x = with_row_index(x, list(order or ()), "__row")
+        y = with_row_index(y, list(order or ()), "__row")
         by = ["__row"]
     by = list(by)
     rep = schema_report(x, y, by)
@@ -72,12 +72,23 @@ def _differs(a: str, b: str, kind: str, tol: float) -> str:
     """SQL text: both null = equal, one null = different, numbers within ``tol``."""
     a, b = f"`{a}`", f"`{b}`"
     if kind == "number":
-        neq = f"abs(CAST({a} AS DOUBLE) - CAST({b} AS DOUBLE)) > {tol!r}"
+        # equal infinities and NaN are no difference
+        x, y = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
+        neq = f"NOT ({x} <=> {y}) AND abs({x} - {y}) > {tol!r}"
     else:
         neq = f"{a} <> {b}"
     return f"(({a} IS NULL) <> ({b} IS NULL) OR ({a} IS NOT NULL AND {b} IS NOT NULL AND {neq}))"
 
 
+def _quoted(name: str) -> str:
+    """A name as an SQL text literal."""
+    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _text_sql(name: str, dt: T.DataType) -> str:
     """SQL text rendering of a cell (whole doubles without a fraction), as ``render_text``."""
     c = f"`{name}`"
@@ -91,9 +102,11 @@ def _text_sql(name: str, dt: T.DataType) -> str:
 
 
 def compare_tables(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None,
-                   tol: float = DEFAULT_TOL) -> DataFrame:
-    """Differing cells of rows present in both tables: ``by..., variable, value_x, value_y``."""
-    j, by = _aligned(x, y, by)
+                   tol: float = DEFAULT_TOL, order: Sequence[str] | None = None) -> DataFrame:
+    """Differing cells of rows present in both tables: ``by..., variable, value_x, value_y``.
+
+    Without ``by`` rows are aligned by their position in the ``order`` columns."""
+    j, by = _aligned(x, y, by, order)
     rep = schema_report(x, y, by)
     tx = {f.name: f.dataType for f in x.schema.fields}
     ty = {f.name: f.dataType for f in y.schema.fields}
@@ -104,22 +117,32 @@ def compare_tables(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None,
                            F.lit(None).cast("string").alias("value_x"),
                            F.lit(None).cast("string").alias("value_y")).limit(0)
     cells = ", ".join(
-        f"named_struct('variable', '{c}', 'value_x', {_text_sql(f'__x{i}', tx[c])}, "
+        f"named_struct('variable', {_quoted(c)}, 'value_x', {_text_sql(f'__x{i}', tx[c])}, "
         f"'value_y', {_text_sql(f'__y{i}', ty[c])}, 'd', {_differs(f'__x{i}', f'__y{i}', _kind(tx[c]), tol)})"
         for i, c in enumerate(rep["compared"]))
     exploded = both.select(*keys, F.expr(f"explode(filter(array({cells}), s -> s.d))").alias("c"))
     return exploded.select(*keys, "c.variable", "c.value_x", "c.value_y")
 
 
-def compare_summary(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None,
-                    tol: float = DEFAULT_TOL) -> DataFrame:
-    """Counts of the comparison as ``(item, value)`` rows.
+def compare_unmatched(x: DataFrame, y: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Keys of the rows that only one table has: ``by..., side`` (``x`` or ``y``), once per row."""
+    keys = [col(k) for k in by]
+    xs, ys = x.select(*keys, F.lit("x").alias("side")), y.select(*keys, F.lit("y").alias("side"))
+    return (null_safe_join(xs, y.select(*keys), list(by), "left_anti")
+            .unionByName(null_safe_join(ys, x.select(*keys), list(by), "left_anti")))
 
-    Row counts of each side, rows only in x / y, column counts, shared /
-    not-compared columns, and the number of differing cells per compared
-    variable (zero included). One aggregate job over the aligned table.
+
+def compare_summary(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None,
+                    tol: float = DEFAULT_TOL, order: Sequence[str] | None = None) -> DataFrame:
+    """The comparison as ``(item, value)`` rows.
+
+    Row counts of each side, rows only in x / y, column counts, the number of
+    differing cells per compared variable (zero included), and a row with value 1
+    for each column that is not compared or that one table lacks
+    (``not_compared:<name>``, ``only_x:<name>``, ``only_y:<name>``). One aggregate
+    job over the aligned table; ``compare_unmatched`` lists the unmatched rows.
     """
-    j, by = _aligned(x, y, by)
+    j, by = _aligned(x, y, by, order)
     rep = schema_report(x, y, by)
     kind = {f.name: _kind(f.dataType) for f in x.schema.fields}
     both = "(__in_x AND __in_y)"
@@ -130,17 +153,18 @@ def compare_summary(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None,
             f"CAST(coalesce(sum(CAST({both} AS BIGINT)), 0) AS BIGINT) AS rows_both"]
     for i, c in enumerate(rep["compared"]):
         d = _differs(f"__x{i}", f"__y{i}", kind[c], tol)
-        aggs.append(f"CAST(coalesce(sum(CAST({both} AND {d} AS BIGINT)), 0) AS BIGINT) AS `diff:{c}`")
+        aggs.append(f"CAST(coalesce(sum(CAST({both} AND {d} AS BIGINT)), 0) AS BIGINT) AS {_ident(f'diff:{c}')}")
     fixed = {"ncol_x": len(x.columns), "ncol_y": len(y.columns), "ncol_shared": len(rep["compared"]) +
              len(rep["not_compared"]), "ncol_not_compared": len(rep["not_compared"]),
              "ncol_only_x": len(rep["only_x"]), "ncol_only_y": len(rep["only_y"])}
+    fixed |= {f"{kind_}:{c}": 1 for kind_ in ("not_compared", "only_x", "only_y") for c in rep[kind_]}
     counts = j.selectExpr(*[f"{k} AS `{k}`" for k in ("__in_x", "__in_y")],
                           *[f"`__x{i}`" for i in range(len(rep["compared"]))],
                           *[f"`__y{i}`" for i in range(len(rep["compared"]))]) \
         .groupBy().agg(*[F.expr(a) for a in aggs])
     names = counts.columns
-    stack = ", ".join(f"'{n}', `{n}`" for n in names) + ", " + ", ".join(
-        f"'{k}', CAST({v} AS BIGINT)" for k, v in fixed.items())
+    stack = ", ".join(f"{_quoted(n)}, {_ident(n)}" for n in names) + ", " + ", ".join(
+        f"{_quoted(k)}, CAST({v} AS BIGINT)" for k, v in fixed.items())
     return counts.selectExpr(f"stack({len(names) + len(fixed)}, {stack}) AS (item, value)")
 
 

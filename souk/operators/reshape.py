@@ -66,14 +66,21 @@ def answer_shares(df: DataFrame, columns: Sequence[str], loc: str = "call_locati
 
 
 def pivot_wide(long: DataFrame, key: str, name: str, value: str, names: Sequence[str] | None = None,
-               fill: float | None = None) -> DataFrame:
+               fill: float | None = None, max_names: int = 5000) -> DataFrame:
     """One row per ``key``, one column per ``name`` value (sorted), filled where asked.
 
-    ``names`` may be given to skip the distinct pass Spark needs otherwise.
+    Two rows for one cell raise an error (two answers whose names collide) instead of
+    one of them winning. ``names`` may be given to skip the distinct pass; otherwise at
+    most ``max_names`` + 1 names come to the driver, and more than ``max_names`` columns
+    are refused: such an item belongs in the long form.
     """
     if names is None:
-        names = sorted(r[0] for r in long.select(name).distinct().collect() if r[0] is not None)
-    wide = long.groupBy(col(key)).pivot(name, list(names)).agg(F.first(col(value)))
+        found = long.where(col(name).isNotNull()).select(name).distinct().limit(max_names + 1).collect()
+        if len(found) > max_names:
+            raise ValueError(f"more than {max_names} different {name!r} values: keep the long form, or declare names")
+        names = sorted(r[0] for r in found)
+    one = F.when(F.count(col(value)) > 1, F.raise_error(F.lit("two rows for one cell: names collide"))).otherwise(F.max(col(value)))
+    wide = long.groupBy(col(key)).pivot(name, list(names)).agg(one)
     if fill is not None:
         wide = wide.fillna(fill, subset=list(names))
     return wide

@@ -3,12 +3,14 @@
 import datetime as dt
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from souk.functions import names as N
 from souk.operators import compare as C
 from souk.operators import indicators as I
 from souk.operators import quality as Q
+from souk.operators.reshape import pivot_wide
 from souk.sources import io
 
 
@@ -18,11 +20,41 @@ def test_row_index_is_positional(spark):
     assert got == [("a", 1), ("b", 2), ("c", 3)]
 
 
-def test_compare_by_position(spark):
-    x = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "s string, v double").coalesce(1)
-    y = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "s string, v double").coalesce(1)
-    cells = [(r["__row"], r["variable"], r["value_x"], r["value_y"]) for r in C.compare_tables(x, y).collect()]
+def test_compare_by_position_needs_a_declared_order(spark):
+    x = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "s string, v double")
+    y = spark.createDataFrame([("b", 3.0), ("a", 1.0)], "s string, v double").repartition(2)
+    cells = [(r["__row"], r["variable"], r["value_x"], r["value_y"]) for r in C.compare_tables(x, y, order=["s"]).collect()]
     assert cells == [(2, "v", "2", "3")]
+    with pytest.raises(ValueError):
+        C.compare_tables(x, y)
+
+
+def test_row_index_over_several_files(spark):
+    folder = tempfile.mkdtemp(prefix="souk-test-")
+    spark.range(30_000).repartition(7).write.parquet(f"{folder}/t")
+    df = io.with_row_index(spark.read.parquet(f"{folder}/t"), ["id"])
+    assert df.where("index <> id + 1").count() == 0 and df.count() == 30_000
+
+
+def test_table_equals_itself_with_infinities_and_odd_names(spark):
+    rows = [(i, float(v), "t") for i, v in enumerate(("inf", "-inf", "nan", "1.5"))]
+    x = spark.createDataFrame(rows, "k int, `don't know` double, `back``tick` string")
+    assert C.compare_tables(x, x, ["k"]).count() == 0
+    y = x.withColumn("don't know", F.when(F.col("k") == 0, float("-inf")).otherwise(F.col("don't know")))
+    assert [(r["k"], r["variable"]) for r in C.compare_tables(x, y, ["k"]).collect()] == [(0, "don't know")]
+    other = y.drop("back`tick").withColumn("new", F.lit(1))
+    summary = {r["item"]: r["value"] for r in C.compare_summary(x, other, ["k"]).collect()}
+    assert summary["diff:don't know"] == 1 and summary["only_x:back`tick"] == 1 and summary["only_y:new"] == 1
+    far = C.compare_unmatched(x, y.where("k > 0"), ["k"]).collect()
+    assert [(r["k"], r["side"]) for r in far] == [(0, "x")]
+
+
+def test_colliding_names_raise(spark):
+    long = spark.createDataFrame([("L", "b__x", 0.5), ("L", "b__x", 0.25), ("M", "b__y", 1.0)], "call_location string, item string, pc double")
+    with pytest.raises(Exception, match="collide"):
+        pivot_wide(long, "call_location", "item", "pc").collect()
+    with pytest.raises(ValueError):
+        pivot_wide(long, "call_location", "item", "pc", max_names=1)
 
 
 def test_drop_all_null_columns(spark):
@@ -57,7 +89,6 @@ def test_dated_table_and_bundle_order(spark):
 def test_unique_rename_guard(spark):
     df = spark.createDataFrame([], "X_uuid string, b string")
     assert N.unique_rename(df, "uuid", "uuid").columns == ["uuid", "b"]
-    import pytest
     with pytest.raises(ValueError):
         N.unique_rename(spark.createDataFrame([], "a_uuid string, b_uuid string"), "uuid", "uuid")
 
