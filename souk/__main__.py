@@ -5,7 +5,8 @@
     python -m souk compare  --a out/run_a --b out/run_b --out out/compare
 
 Inputs ending in ``.csv`` are read with the survey CSV rules (NA markers,
-header normalisation); anything else is read as Parquet. Uses the active
+header normalisation; ``validate`` keeps slashes in names, as sheets do); anything
+else is read as Parquet. Uses the active
 Spark session (``spark-submit``) or a local one.
 """
 
@@ -22,8 +23,8 @@ from .plans.validation import validate, write_validation
 from .sources.io import read_survey_csv, write_table
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    return read_survey_csv(spark, path) if path.lower().endswith(".csv") else spark.read.parquet(path)
+def _read(spark: SparkSession, path: str, header: str = "csv", index: str | None = None) -> DataFrame:
+    return read_survey_csv(spark, path, header=header, index=index) if path.lower().endswith(".csv") else spark.read.parquet(path)
 
 
 def _session() -> SparkSession:
@@ -53,6 +54,12 @@ def main(argv: list[str] | None = None) -> int:
     v.add_argument("--owner", default="enumerator_org")
     v.add_argument("--enumerator", default="enumerator")
     v.add_argument("--admin", default="call_location")
+    v.add_argument("--uuid", default="uuid")
+    v.add_argument("--index", default="index")
+    v.add_argument("--uuid-log", default="uuid")
+    v.add_argument("--uuid-deletions", default="uuid")
+    v.add_argument("--order", nargs="*", help="columns that order a data table without an index column (Parquet input)")
+    v.add_argument("--one-enumerator")
     v.add_argument("--issues", default="drop_logged", choices=("drop_logged", "keep_logged"))
     v.add_argument("--format", default="parquet", choices=("parquet", "csv"))
     c = sub.add_parser("compare", help="cell-by-cell comparison of two analysed bundles")
@@ -66,10 +73,16 @@ def main(argv: list[str] | None = None) -> int:
         sheets = analyse(_read(spark, args.survey), args.location, args.date, args.method)
         write_analysis(sheets, args.out, fmt=args.format)
     elif args.cmd == "validate":
-        outs = validate(_read(spark, args.data), _read(spark, args.log), _read(spark, args.deletions),
-                        _read(spark, args.tool), question=args.question, old_value=args.old_value,
+        # sheet headers keep the slash of question/option names
+        data = _read(spark, args.data, "sheet")
+        if args.data.lower().endswith(".csv") and not {args.index, f"X_{args.index}", f"_{args.index}"} & set(data.columns):
+            data = _read(spark, args.data, "sheet", args.index)
+        log, deletions, tool = (_read(spark, path, "sheet") for path in (args.log, args.deletions, args.tool))
+        outs = validate(data, log, deletions, tool, question=args.question, old_value=args.old_value,
                         new_value=args.new_value, owner=args.owner, enumerator=args.enumerator,
-                        admin=args.admin, issues_mode=args.issues)
+                        admin=args.admin, uuid=args.uuid, index=args.index, uuid_log=args.uuid_log,
+                        uuid_del=args.uuid_deletions, order=args.order, issues_mode=args.issues,
+                        one_enumerator=args.one_enumerator)
         write_validation(outs, args.out, run_date=dt.date.today(), fmt=args.format)
     else:
         write_table(compare_runs(spark, args.a, args.b), args.out)

@@ -2,19 +2,16 @@
 
 ``duration_issues`` applies ``check_time`` (stateless) to a streaming
 DataFrame; ``outlier_issues`` compares each new value with column statistics
-computed from the survey already collected (a stream-static join against a
-one-row-per-column table). Both write append-only results with a checkpoint
+computed from the survey already collected. Both write append-only results with a checkpoint
 in the session's checkpoint folder, so a restarted query resumes exactly.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.sem import col
 from ..operators import quality as Q
 from ..session import ensure_checkpoint_dir
 
@@ -33,26 +30,15 @@ def duration_issues(stream: DataFrame, lower: float, upper: float) -> DataFrame:
     return Q.check_time(stream, lower, upper)
 
 
-def column_stats(history: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean and standard deviation (raw and log) per column of the collected survey."""
-    long = (history.select(*[col(c).cast("double").alias(c) for c in columns])
-                   .unpivot([], [col(c) for c in columns], "variable", "value").where(F.col("value").isNotNull()))
-    lv = F.when(F.col("value") > 0, F.ln("value"))
-    return long.groupBy("variable").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"),
-                                        F.avg(lv).alias("_lm"), F.stddev_samp(lv).alias("_ls"))
+def column_stats(history: DataFrame, columns: list[str]) -> dict[str, tuple]:
+    """Statistics per column of the collected survey (one aggregate, read once on the driver)."""
+    return Q.column_stats(history, columns)
 
 
-def outlier_issues(stream: DataFrame, stats: DataFrame, columns: list[str], k: float = 3.0,
+def outlier_issues(stream: DataFrame, stats: dict[str, tuple], columns: list[str], k: float = 3.0,
                    index: str = "index") -> DataFrame:
-    long = (stream.select(col(index).alias("index"), *[col(c).cast("double").alias(c) for c in columns])
-                  .unpivot(["index"], [col(c) for c in columns], "variable", "value")
-                  .where(F.col("value").isNotNull()))
-    j = long.join(F.broadcast(stats), "variable")  # one row per column: bounded
-    normal = F.abs(F.col("value") - F.col("_m")) > F.lit(k) * F.col("_s")
-    logn = (F.col("value") > 0) & (F.abs(F.ln("value") - F.col("_lm")) > F.lit(k) * F.col("_ls"))
-    issue = F.when(normal, F.lit(Q.OUTLIER_NORMAL)).when(logn, F.lit(Q.OUTLIER_LOG))
-    return (j.select("index", "value", "variable", F.lit(True).alias("has_issue"), issue.alias("issue_type"))
-             .where(F.col("issue_type").isNotNull()))
+    """The same issues as ``find_outliers``, against the collected survey's statistics."""
+    return Q.outlier_cells(stream, stats, columns, k, index)
 
 
 def start_sink(df: DataFrame, path: str, name: str, available_now: bool = True,

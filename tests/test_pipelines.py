@@ -32,7 +32,7 @@ def test_analysis_bundle_roundtrip_and_compare(spark):
 def test_validation_outputs(spark):
     survey = demo.survey(spark, SF001)
     outs = validate(survey, demo.cleaning_log(spark, SF001), demo.deletions(spark, SF001), demo.tool(spark),
-                    similarity_columns=["vendor_type", "gender_vendor", "credit_offer"])
+                    one_enumerator="E2")
     folder = tempfile.mkdtemp(prefix="souk-test-")
     paths = write_validation(outs, folder, run_date=dt.date(2021, 8, 1))
     assert paths["cleaning_log_not_applied"].endswith("_2021-08-01")
@@ -51,6 +51,40 @@ def test_read_survey_csv_markers_and_headers(spark):
     assert dict(df.dtypes)["q.opt"] == "bigint"
 
 
+def test_csv_cells_with_line_breaks_and_number_rule(spark):
+    folder = tempfile.mkdtemp(prefix="souk-test-")
+    with open(f"{folder}/s.csv", "w") as f:
+        f.write('price (usd),1st,a-b,if,_x,a,a.1,a\n"line one\nline ""two""",12d,7f,1,2.5,x,y,z\nplain,1,3,,1e3,,,\n')
+    df = read_survey_csv(spark, f"{folder}/s.csv", index="index")
+    assert df.columns == ["price..usd.", "X1st", "a.b", "if.", "X_x", "a", "a.1", "a.2", "index"]
+    rows = df.orderBy("index").collect()
+    assert rows[0]["price..usd."] == 'line one\nline "two"' and [r["index"] for r in rows] == [1, 2]
+    kinds = dict(df.dtypes)
+    assert (kinds["X1st"], kinds["a.b"], kinds["if."], kinds["X_x"]) == ("string", "string", "bigint", "double")
+    assert read_survey_csv(spark, f"{folder}/s.csv", header="sheet").columns[:3] == ["price.(usd)", "1st", "a-b"]
+
+
+def test_validate_on_sheets_with_prefixed_keys(spark):
+    import glob
+
+    from souk.__main__ import main
+    folder = tempfile.mkdtemp(prefix="souk-cli-")
+    data = demo.survey(spark, SF001).withColumnRenamed("uuid", "X_uuid").withColumn("q/opt", F.lit("1"))
+    paths = {}
+    for name, df in (("data", data.orderBy("index").drop("index")), ("log", demo.cleaning_log(spark, SF001)),
+                     ("deletions", demo.deletions(spark, SF001).withColumnRenamed("uuid", "_uuid")), ("tool", demo.tool(spark))):
+        df.coalesce(1).write.option("header", True).csv(f"{folder}/{name}_csv")
+        paths[name] = glob.glob(f"{folder}/{name}_csv/*.csv")[0]
+    assert main(["validate", "--data", paths["data"], "--log", paths["log"], "--deletions", paths["deletions"],
+                 "--tool", paths["tool"], "--out", f"{folder}/checks", "--one-enumerator", "E1"]) == 0
+    outs = {p.split("/")[-1].rsplit("_", 1)[0]: p for p in glob.glob(f"{folder}/checks/*")}
+    own = spark.read.parquet(outs["similar_surveys_E1"])
+    assert "q/opt" not in own.columns
+    assert own.count() == data.where("enumerator = 'E1'").count() and own.where("most_similar_survey is null").count() == 0
+    si = [r["si"] for r in spark.read.parquet(outs["enumerator_similarity"]).collect()]
+    assert si and sorted(si, reverse=True) == si
+
+
 def test_streaming_duration_and_outliers(spark):
     survey = demo.survey(spark, SF001)
     src = tempfile.mkdtemp(prefix="souk-stream-src-")
