@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names as N
 from ..functions.sem import col, is_numeric, null_safe_join, render_text, safe_number, trim_ws
@@ -28,7 +29,7 @@ DUPLICATE = "duplicated value"
 OTHER_RESPONSE = "'other' response. may need recoding."
 SENSITIVE = "potentially sensitive information. Please ensure appropriate data protection"
 SENSITIVE_WORDS = ("name", "phone", "gps", "latitude", "longitude", "contact", "geopoint", "email", "address")
-# form types that are not answers (dropped before similarity checks)
+# Form types that are not answers (dropped before similarity checks).
 NON_ANSWER_TYPES = ("date", "start", "end", "today", "audit", "note", "calculate", "deviceid", "geopoint")
 
 
@@ -73,11 +74,13 @@ def check_log(data: DataFrame, log: DataFrame, variable: str = "question", old_v
     bounded by the number of columns) so that only they are projected from the
     data before the join on the interview key.
     """
-    asked = [r[0] for r in log.select(variable).distinct().collect() if r[0] in data.columns]
+    asked = sorted(r[0] for r in log.where(col(variable).isin(list(data.columns))).select(variable).distinct().collect())
     types = {f.name: f.dataType for f in data.schema.fields}
     data_cols = [col(uuid_data).alias("__uuid")] + [render_text(col(c), types[c]).alias(f"__q{i}")
                                                    for i, c in enumerate(asked)]
-    cells = data.select(*data_cols)
+    # only the logged interviews' cells go on: the log is short, the data need not be
+    logged = log.select(col(uuid_log).alias("__logged")).distinct()
+    cells = data.join(logged, col(uuid_data).eqNullSafe(F.col("__logged")), "left_semi").select(*data_cols)
     cell = F.lit(None).cast("string")
     for i, c in enumerate(asked):
         cell = F.when(col(variable) == c, F.col(f"__q{i}")).otherwise(cell)
@@ -112,7 +115,7 @@ def check_time(data: DataFrame, lower: float, upper: float, start: str = "start"
     """
     for c in (start, end):
         if c not in data.columns:
-            raise ValueError(f"data needs to have a column called '{c}' for this function to work")
+            raise ValueError(f"check_time: no column {c!r} in the data")
     data = N.unique_rename(data, "uuid", "uuid")
     days = F.datediff(F.try_to_date(F.substring_index(col(end), "T", 1)),
                       F.try_to_date(F.substring_index(col(start), "T", 1)))
@@ -143,24 +146,41 @@ def find_outliers(data: DataFrame, columns: Sequence[str] | None = None, k: floa
                   index: str = "index") -> DataFrame:
     """Values more than ``k`` standard deviations from their column mean, raw or in logs.
 
-    Column statistics come from one grouped aggregate over the unpivoted
-    values (partial per task); the stats table has one row per column, so it
-    is broadcast to the values by construction.
+    One aggregate without unpivot gives every column's statistics (one row, read on
+    the driver, as wide as the table); one pass over the rows then keeps the cells
+    that exceed them. A value that is out on both scales gives two issues.
     """
     columns = list(columns) if columns is not None else numeric_columns(data, (index,))
-    long = (data.select(col(index), *[col(c).cast("double").alias(c) for c in columns])
-                .unpivot([col(index)], [col(c) for c in columns], "variable", "value")
-                .where(F.col("value").isNotNull()))
-    lv = F.when(F.col("value") > 0, F.ln(F.col("value")))
-    stats = long.groupBy("variable").agg(
-        F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"),
-        F.avg(lv).alias("_lm"), F.stddev_samp(lv).alias("_ls"))
-    j = long.join(F.broadcast(stats), "variable")
-    normal = j.where(F.abs(F.col("value") - F.col("_m")) > F.lit(k) * F.col("_s")) \
-              .select(*_issue(col(index), F.col("value"), F.col("variable"), OUTLIER_NORMAL))
-    logn = j.where((F.col("value") > 0) & (F.abs(F.ln(F.col("value")) - F.col("_lm")) > F.lit(k) * F.col("_ls"))) \
-            .select(*_issue(col(index), F.col("value"), F.col("variable"), OUTLIER_LOG))
-    return normal.unionByName(logn)
+    stats = column_stats(data, columns)
+    return outlier_cells(data, stats, columns, k, index)
+
+
+def column_stats(data: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
+    """Per column: mean and standard deviation of the values, and of the logs of the positive ones."""
+    aggs = []
+    for i, c in enumerate(columns):
+        v = col(c).cast("double")
+        lv = F.when(v > 0, F.ln(v))
+        aggs += [F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"), F.avg(lv).alias(f"lm{i}"), F.stddev_samp(lv).alias(f"ls{i}")]
+    row = data.agg(*aggs).first() if aggs else None
+    return {c: (row[f"m{i}"], row[f"s{i}"], row[f"lm{i}"], row[f"ls{i}"]) for i, c in enumerate(columns)}
+
+
+def outlier_cells(data: DataFrame, stats: dict[str, tuple], columns: Sequence[str], k: float = 3.0,
+                  index: str = "index") -> DataFrame:
+    """The issue rows of the cells beyond ``stats``; stateless, so it also runs on a stream."""
+    def issue(c: str, value: F.Column, kind: str, out: F.Column) -> F.Column:
+        return F.when(out, F.struct(F.lit(c).alias("variable"), value.alias("value"), F.lit(kind).alias("issue_type")))
+    cells = []
+    for c in columns:
+        m, s, lm, ls = (F.lit(x).cast("double") for x in stats[c])
+        v = col(c).cast("double")
+        cells.append(issue(c, v, OUTLIER_NORMAL, F.abs(v - m) > F.lit(k) * s))
+        cells.append(issue(c, v, OUTLIER_LOG, (v > 0) & (F.abs(F.ln(v) - lm) > F.lit(k) * ls)))
+    if not cells:
+        cells = [F.lit(None).cast("struct<variable:string,value:double,issue_type:string>")]
+    found = data.select(col(index), F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("i"))
+    return found.select(*_issue(col(index), F.col("i.value"), F.col("i.variable"), F.col("i.issue_type")))
 
 
 def find_duplicates(data: DataFrame, column: str = "uuid", index: str = "index") -> DataFrame:
@@ -197,7 +217,7 @@ def sensitive_columns(data: DataFrame, words: Sequence[str] = SENSITIVE_WORDS) -
 
 def inspect_all(data: DataFrame, uuid: str = "uuid", index: str = "index") -> DataFrame:
     """Outliers, duplicated interview keys, 'other' answers and sensitive names, in one table."""
-    parts = [find_outliers(data, index=index).withColumn("value", F.col("value").cast("string")),
+    parts = [find_outliers(data, index=index).withColumn("value", render_text(F.col("value"), T.DoubleType())),
              find_duplicates(data, uuid, index), find_other_responses(data).drop("n"),
              sensitive_columns(data)]
     out = parts[0]

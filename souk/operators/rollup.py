@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sem import col, union_all_by_name
+from ..functions.sem import col, is_numeric, union_all_by_name
 from .reshape import pivot_wide
 
 LOC = "call_location"
@@ -45,13 +45,10 @@ def global_prices(prices: DataFrame, method: str = "v7", loc: str = LOC, vendor:
              .select("item", F.lit(GLOBAL).alias(loc), "nv", "q1", "q3", "median", col(vendor)))
 
 
-STOCK_NUMBERS = ("nv", "len_m", "len_q1", "len_q3", "tim_m", "tim_q1", "tim_q3", "dif", "dif_pc")
-
-
 def global_stock(stock: DataFrame, method: str = "v7", loc: str = LOC, vendor: str = "vendor_type") -> DataFrame:
     """Median of every numeric stock column per item (v7: checked rows only)."""
     src = stock.where(F.col("check")) if method == "v7" else stock
-    nums = [c for c in STOCK_NUMBERS if c in src.columns]
+    nums = [f.name for f in src.schema.fields if is_numeric(f.dataType)]
     g = src.groupBy("item").agg(*[_median(c).alias(c) for c in nums])
     vt = src.select("item", col(vendor)).distinct()
     return g.join(vt, "item").select("item", F.lit(GLOBAL).alias(loc), *nums, col(vendor))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from ..operators import indicators as I
 from ..operators import rollup as R
 from ..operators.reshape import pivot_wide
+from ..session import materialize
 from ..sources.io import write_bundle
 
 SHEETS = ("items", "stock", "barrier", "payment", "supplier1", "supplier2", "credit1", "credit2")
@@ -23,21 +24,23 @@ def analyse(survey: DataFrame, location: str = "all", date: str = "2008", method
     df = I.filter_round(survey, location, date)
     if cache:
         df = df.cache()
-    prices = I.price_table(df)
-    stock = I.stock_table(df)
-    suppliers = I.supplier_shares(df)
-    sn = I.supplier_numbers(df)
-    cn = I.credit_numbers(df)
+    # each location table feeds its own rows and the _global ones: computed once
+    prices = materialize(I.price_table(df))
+    stock = materialize(I.stock_table(df))
+    suppliers = materialize(I.supplier_shares(df))
+    sn = materialize(I.supplier_numbers(df))
+    cn = materialize(I.credit_numbers(df))
+    barriers, payments, credits = (materialize(f(df)) for f in (I.barrier_shares, I.payment_shares, I.credit_shares))
     if method == "v7":
-        barrier = R.global_shares_wide(I.barrier_shares(df))
-        payment = R.global_shares_wide(I.payment_shares(df))
-        credit = R.global_shares_wide(I.credit_shares(df))
+        barrier = R.global_shares_wide(barriers)
+        payment = R.global_shares_wide(payments)
+        credit = R.global_shares_wide(credits)
     else:
         # v6: location and _global rows pivoted wide, no zero fill, every column
         # (the location too) sorted by name
         barrier, payment, credit = (
             _sorted_columns(pivot_wide(R.with_global(s, R.global_shares_v6(s)), "call_location", "item", "pc"))
-            for s in (I.barrier_shares(df), I.payment_shares(df), I.credit_shares(df)))
+            for s in (barriers, payments, credits))
     return {
         "items": I.ordered(R.with_global(prices, R.global_prices(prices, method)), "vendor_type", "item"),
         "stock": I.ordered(R.with_global(stock, R.global_stock(stock, method)), "vendor_type", "item"),

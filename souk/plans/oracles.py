@@ -243,6 +243,9 @@ def oracle_sql() -> dict[str, str]:
         "global_payment_wide": wide_sql(PAYMENT_COLS, PAYMENT_ITEMS),
         "global_credit_wide": wide_sql(CREDIT_COLS, CREDIT_ITEMS),
         "global_shares_v6": shares_v6_sql(BARRIER_COLS),
+        "global_shares_v6_payment": shares_v6_sql(PAYMENT_COLS),
+        "global_shares_v6_credit": shares_v6_sql(CREDIT_COLS),
+        "filter_round": with_survey(f"SELECT {LOC}, count(*) AS nn FROM survey WHERE {q('jmmi_date')} = '9506' GROUP BY {LOC}"),
         "global_suppliers": global_suppliers_sql(),
         "supplier_numbers": with_survey(
             f"SELECT {LOC}, {vt}, {r6('median', 'median')}, {r6('q1', 'q1')}, {r6('q3', 'q3')} FROM sn", SN_CTES),
@@ -321,6 +324,12 @@ def _outlier_log():
     return OUTLIER_LOG
 
 
+def _sensitive_sql() -> str:
+    from ..operators.quality import SENSITIVE, SENSITIVE_WORDS
+    names = [c for c in demo.survey_columns() if any(w in c.lower() for w in SENSITIVE_WORDS)]
+    return "".join(f" UNION ALL SELECT NULL, NULL, '{c}', true, '{SENSITIVE}'" for c in names)
+
+
 def _validation_sql() -> dict[str, str]:
     uid, quest, idx = q("uuid"), q("question"), q("index")
     logc = f"log AS ({demo.log_sql('duckdb')})"
@@ -367,6 +376,12 @@ def _validation_sql() -> dict[str, str]:
             f"SELECT CAST(NULL AS BIGINT) AS {idx}, value, variable, true AS has_issue, "
             f"'''other'' response. may need recoding.' AS issue_type, count(*) AS n FROM ({other_long}) u "
             f"WHERE value IS NOT NULL GROUP BY ALL"),
+        "inspect_all": with_survey(
+            f"SELECT {idx}, {demo.render_sql('value', 'double')} AS value, variable, has_issue, issue_type FROM outl UNION ALL "
+            f"SELECT {idx}, {uid}, 'uuid', true, 'duplicated value' FROM survey WHERE {uid} IN "
+            f"(SELECT {uid} FROM survey GROUP BY {uid} HAVING count(*) > 1) UNION ALL "
+            f"SELECT NULL, value, variable, true, '''other'' response. may need recoding.' FROM ({other_long}) u "
+            f"WHERE value IS NOT NULL GROUP BY value, variable{_sensitive_sql()}", _outlier_ctes()),
         "attach_issue_owner": with_survey(
             f"SELECT * FROM ({owner}) w WHERE {uid} NOT IN (SELECT {uid} FROM log)", f"{logc}, {_outlier_ctes()}"),
         "attach_issue_owner_logged": with_survey(
@@ -422,12 +437,16 @@ def _compare_sql() -> dict[str, str]:
     counts = (f"SELECT sum(in_x) AS nrow_x, sum(in_y) AS nrow_y, sum(CASE WHEN in_y = 0 THEN 1 ELSE 0 END) "
               f"AS rows_only_x, sum(CASE WHEN in_x = 0 THEN 1 ELSE 0 END) AS rows_only_y, "
               f"sum(in_x * in_y) AS rows_both, {diffs}, 60 AS ncol_x, 60 AS ncol_y, 58 AS ncol_shared, "
-              f"1 AS ncol_not_compared, 1 AS ncol_only_x, 1 AS ncol_only_y FROM g")
+              f"1 AS ncol_not_compared, 1 AS ncol_only_x, 1 AS ncol_only_y, 1 AS {q('not_compared:supplier_number')}, "
+              f"1 AS {q('only_x:avail_shop_rice')}, 1 AS {q('only_y:extra_note')} FROM g")
     names = (["nrow_x", "nrow_y", "rows_only_x", "rows_only_y", "rows_both"] + [f"diff:{c}" for c in cols]
-             + ["ncol_x", "ncol_y", "ncol_shared", "ncol_not_compared", "ncol_only_x", "ncol_only_y"])
+             + ["ncol_x", "ncol_y", "ncol_shared", "ncol_not_compared", "ncol_only_x", "ncol_only_y",
+                "not_compared:supplier_number", "only_x:avail_shop_rice", "only_y:extra_note"])
     unp = " UNION ALL ".join(f"SELECT '{n}' AS item, CAST({q(n)} AS BIGINT) AS value FROM cnt" for n in names)
     return {
         "compare_tables": with_survey(cells, ctes, materialized=("g",)),
+        "compare_unmatched": with_survey(
+            f"SELECT {uid}, CASE WHEN in_x = 1 THEN 'x' ELSE 'y' END AS side FROM g WHERE in_x + in_y = 1", ctes, materialized=("g",)),
         "compare_summary": with_survey(unp, f"{ctes}, cnt AS ({counts})", materialized=("g", "cnt")),
     }
 
@@ -441,7 +460,15 @@ def _answer_cols() -> list[str]:
             if tool.get(c) not in NON_ANSWER_TYPES and not c.startswith("_") and "/" not in c]
 
 
-def _nearest_sql(max_diff: int, only_found: bool) -> str:
+def _silhouette_cols() -> list[str]:
+    """All answer columns (option columns too) but the area, the enumerator and the row index."""
+    from ..operators.quality import NON_ANSWER_TYPES
+    tool = dict(demo.tool_rows())
+    return [c for c in demo.survey_columns() if tool.get(c) not in NON_ANSWER_TYPES and not c.startswith("_")
+            and c not in (LOC.strip('"'), "enumerator", "index")]
+
+
+def _nearest_sql(max_diff: int) -> str:
     cols = _answer_cols()
     idx = q("index")
     vals = ", ".join(f"coalesce({demo.render_sql(q(c), _survey_type(c))}, 'NA') AS {q(c)}" for c in cols)
@@ -461,13 +488,30 @@ def _nearest_sql(max_diff: int, only_found: bool) -> str:
             f"best AS (SELECT i, min(d) AS d FROM both_dir GROUP BY i), "
             f"nearest AS (SELECT b.i, b.d, min(x.j) AS j FROM best b JOIN both_dir x ON x.i = b.i AND x.d = b.d "
             f"GROUP BY b.i, b.d)")
-    join = "JOIN" if only_found else "LEFT JOIN"
     body = (f"SELECT " + ", ".join(f"m.{q(c)}" for c in cols) + f", {not_na} AS n_col_not_na, m.id AS survey_id, "
             f"nearest.j AS most_similar_survey, CAST(nearest.d AS BIGINT) AS number_different_columns "
-            f"FROM m {join} nearest ON nearest.i = m.id")
+            f"FROM m JOIN nearest ON nearest.i = m.id")
     return with_survey(body, ctes, materialized=("sample", "m", "scored", "both_dir"))
 
 
+def _search_sql() -> str:
+    """Every hundredth interview against all others."""
+    cols = _answer_cols()
+    vals = ", ".join(f"coalesce({demo.render_sql(q(c), _survey_type(c))}, 'NA') AS {q(c)}" for c in cols)
+    dist = " + ".join(f"CASE WHEN a.{q(c)} = b.{q(c)} THEN 0 ELSE 1 END" for c in cols)
+    not_na = " + ".join(f"CASE WHEN {q(c)} <> 'NA' THEN 1 ELSE 0 END" for c in cols)
+    ctes = (f"sample AS ({demo.survey_copies_sql('duckdb', source='survey0')}), "
+            f"m AS (SELECT CAST({q('index')} AS BIGINT) AS id, {vals} FROM sample), "
+            f"asked AS (SELECT * FROM m WHERE id % 100 = 0), "
+            f"pairs AS (SELECT a.id AS i, b.id AS j, {dist} AS d FROM asked a JOIN m b ON a.id <> b.id), "
+            f"best AS (SELECT i, min(d) AS d FROM pairs GROUP BY i), "
+            f"nearest AS (SELECT b.i, b.d, min(p.j) AS j FROM best b JOIN pairs p ON p.i = b.i AND p.d = b.d GROUP BY b.i, b.d)")
+    body = (f"SELECT " + ", ".join(f"m.{q(c)}" for c in cols) + f", {not_na} AS n_col_not_na, m.id AS survey_id, "
+            f"nearest.j AS most_similar_survey, CAST(nearest.d AS BIGINT) AS number_different_columns "
+            f"FROM asked m LEFT JOIN nearest ON nearest.i = m.id")
+    return with_survey(body, ctes, materialized=("sample", "m", "pairs"))
+
+
 def _silhouette_sql(columns: list[str]) -> str:
     tool = dict(demo.tool_rows())
     num = [c for c in columns if tool.get(c) in ("integer", "decimal", "calculate")] + ["n"]
@@ -517,10 +561,9 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     out.update(_supply_sql())
     out.update(_validation_sql())
     out.update(_compare_sql())
-    from .registry import SILHOUETTE_COLUMNS
-    out["near_duplicates"] = _nearest_sql(5, True)
-    out["nearest_survey"] = _nearest_sql(10, False)
-    out["enumerator_similarity"] = _silhouette_sql(list(SILHOUETTE_COLUMNS))
+    out["near_duplicates"] = _nearest_sql(5)
+    out["nearest_survey"] = _search_sql()
+    out["enumerator_similarity"] = _silhouette_sql(_silhouette_cols())
     for sheet, local, glob in (("sheet_items", "price_table", "global_prices"),
                                ("sheet_stock", "stock_table", "global_stock"),
                                ("sheet_supplier1", "supplier_shares", "global_suppliers"),

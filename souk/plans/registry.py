@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.sem import round_doubles
 from ..operators import compare as C
@@ -17,6 +18,7 @@ from ..operators import indicators as I
 from ..operators import quality as Q
 from ..operators import rollup as R
 from ..operators import similarity as SIM
+from ..session import materialize
 from ..sources import demo
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,12 +64,12 @@ def q_availability(spark, d):
 
 @register("global_prices")
 def q_global_prices(spark, d):
-    return R.global_prices(I.price_table(_survey(spark, d)), "v7")
+    return R.global_prices(materialize(I.price_table(_survey(spark, d))), "v7")
 
 
 @register("global_prices_v6")
 def q_global_prices_v6(spark, d):
-    return R.global_prices(I.price_table(_survey(spark, d)), "v6")
+    return R.global_prices(materialize(I.price_table(_survey(spark, d))), "v6")
 
 
 # ---- analysis: stock --------------------------------------------------------
@@ -104,12 +106,12 @@ def q_stock_table(spark, d):
 
 @register("global_stock")
 def q_global_stock(spark, d):
-    return R.global_stock(I.stock_table(_survey(spark, d)), "v7")
+    return R.global_stock(materialize(I.stock_table(_survey(spark, d))), "v7")
 
 
 @register("global_stock_v6")
 def q_global_stock_v6(spark, d):
-    return R.global_stock(I.stock_table(_survey(spark, d)), "v6")
+    return R.global_stock(materialize(I.stock_table(_survey(spark, d))), "v6")
 
 
 # ---- analysis: answer shares -------------------------------------------------
@@ -136,17 +138,17 @@ def q_credit(spark, d):
 
 @register("global_barrier_wide")
 def q_global_barrier(spark, d):
-    return R.global_shares_wide(I.barrier_shares(_survey(spark, d)))
+    return R.global_shares_wide(materialize(I.barrier_shares(_survey(spark, d))))
 
 
 @register("global_payment_wide")
 def q_global_payment(spark, d):
-    return R.global_shares_wide(I.payment_shares(_survey(spark, d)))
+    return R.global_shares_wide(materialize(I.payment_shares(_survey(spark, d))))
 
 
 @register("global_credit_wide")
 def q_global_credit(spark, d):
-    return R.global_shares_wide(I.credit_shares(_survey(spark, d)))
+    return R.global_shares_wide(materialize(I.credit_shares(_survey(spark, d))))
 
 
 @register("global_shares_v6")
@@ -154,6 +156,16 @@ def q_global_shares_v6(spark, d):
     return R.global_shares_v6(I.barrier_shares(_survey(spark, d)))
 
 
+@register("global_shares_v6_payment")
+def q_global_shares_v6_payment(spark, d):
+    return R.global_shares_v6(I.payment_shares(_survey(spark, d)))
+
+
+@register("global_shares_v6_credit")
+def q_global_shares_v6_credit(spark, d):
+    return R.global_shares_v6(I.credit_shares(_survey(spark, d)))
+
+
 @register("global_suppliers")
 def q_global_suppliers(spark, d):
     return R.global_suppliers(I.supplier_shares(_survey(spark, d)))
@@ -193,6 +205,11 @@ def q_supply_items(spark, d):
     return I.supply_items(demo.supply(spark, d))
 
 
+@register("filter_round")
+def q_filter_round(spark, d):
+    return I.interviews_per_location(I.filter_round(_survey(spark, d), "all", "9506"))
+
+
 # ---- validation ------------------------------------------------------------------
 
 def _log(spark, d):
@@ -245,6 +262,11 @@ def q_find_other_responses(spark, d):
     return Q.find_other_responses(_survey(spark, d))
 
 
+@register("inspect_all")
+def q_inspect_all(spark, d):
+    return Q.inspect_all(_survey(spark, d))
+
+
 @register("attach_issue_owner")
 def q_attach_issue_owner(spark, d):
     s = _survey(spark, d)
@@ -269,13 +291,17 @@ def q_compare_tables(spark, d):
     return C.compare_tables(_survey(spark, d), demo.survey_edited(spark, d), ["uuid"])
 
 
+@register("compare_unmatched")
+def q_compare_unmatched(spark, d):
+    return C.compare_unmatched(_survey(spark, d), demo.survey_edited(spark, d), ["uuid"])
+
+
 @register("compare_summary")
 def q_compare_summary(spark, d):
     return C.compare_summary(_survey(spark, d), demo.survey_edited(spark, d), ["uuid"])
 
 
-# ---- falsification (no SQL oracle: exact banded search / separable silhouette,
-# tested against brute force over all pairs in tests/test_similarity.py) --------
+# ---- falsification ---------------------------------------------------------------
 
 @register("near_duplicates")
 def q_near_duplicates(spark, d):
@@ -286,49 +312,43 @@ def q_near_duplicates(spark, d):
 @register("nearest_survey")
 def q_nearest_survey(spark, d):
     types = Q.tool_types(demo.tool(spark))
-    return SIM.nearest_survey(demo.survey_copies(spark, d), types, max_diff=10)
-
-
-# answers compared between enumerators: the single-choice and number questions
-# every vendor is asked (few null patterns keep the separable sums small)
-SILHOUETTE_COLUMNS = ["vendor_type", "avail_shop_rice", "currency_used", "barter_accept", "credit_offer",
-                      "customer_change", "gender_vendor", "supplier_number", "credit_total_usd"]
+    # the stated interviews, every hundredth, against all
+    return SIM.nearest_survey(demo.survey_copies(spark, d), types, F.col("index") % 100 == 0)
 
 
 @register("enumerator_similarity")
 def q_enumerator_similarity(spark, d):
     types = Q.tool_types(demo.tool(spark))
-    return SIM.enumerator_similarity(_survey(spark, d), types, "enumerator", "call_location",
-                                     columns=SILHOUETTE_COLUMNS)
+    return SIM.enumerator_similarity(_survey(spark, d), types, "enumerator", "call_location")
 
 
 # ---- assembled sheets (location rows + _global rows) ------------------------------
 
 @register("sheet_items")
 def q_sheet_items(spark, d):
-    p = I.price_table(_survey(spark, d))
+    p = materialize(I.price_table(_survey(spark, d)))
     return R.with_global(p, R.global_prices(p, "v7"))
 
 
 @register("sheet_stock")
 def q_sheet_stock(spark, d):
-    st = I.stock_table(_survey(spark, d))
+    st = materialize(I.stock_table(_survey(spark, d)))
     return R.with_global(st, R.global_stock(st, "v7"))
 
 
 @register("sheet_supplier1")
 def q_sheet_supplier1(spark, d):
-    sh = I.supplier_shares(_survey(spark, d))
+    sh = materialize(I.supplier_shares(_survey(spark, d)))
     return R.with_global(sh, R.global_suppliers(sh))
 
 
 @register("sheet_supplier2")
 def q_sheet_supplier2(spark, d):
-    sn = I.supplier_numbers(_survey(spark, d))
+    sn = materialize(I.supplier_numbers(_survey(spark, d)))
     return R.with_global(sn, R.global_supplier_numbers(sn))
 
 
 @register("sheet_credit2")
 def q_sheet_credit2(spark, d):
-    cn = I.credit_numbers(_survey(spark, d))
+    cn = materialize(I.credit_numbers(_survey(spark, d)))
     return R.with_global(cn, R.global_credit_numbers(cn))
