@@ -10,11 +10,11 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF001
+from souk.plans import oracles, registry
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = registry.QUERIES
+ORACLES = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
