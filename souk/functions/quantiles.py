@@ -30,6 +30,7 @@ DEFAULT_PROBS = (0.25, 0.5, 0.75)
 DEFAULT_NAMES = ("q1", "median", "q3")
 _MANTISSA_BUCKETS = 256
 _EXP_OFFSET = 1100
+NULL_BUCKET = -(1 << 41)
 
 
 def order_bucket(v: Column) -> Column:
@@ -45,7 +46,7 @@ def order_bucket(v: Column) -> Column:
     # infinities and NaN (which Spark orders above everything) get sentinel buckets
     top = F.lit(1 << 40)
     return (F.when(F.isnan(v), top + 1).when(v == float("inf"), top).when(v == float("-inf"), -top)
-             .when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0).cast("long")))
+             .when(v > 0, mag).when(v < 0, -mag).when(v.isNotNull(), F.lit(0).cast("long")))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -62,23 +63,21 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         raise ValueError("one name per probability")
     k_cols = [col(k) for k in keys]
 
-    # 1. distinct values and multiplicities (nulls kept so the grid survives)
-    vc = (df.select(*k_cols, col(value).cast("double").alias("_v"))
-            .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    vals = vc.where(F.col("_v").isNotNull()).withColumn("_b", order_bucket(F.col("_v")))
+    # 1. distinct values and multiplicities; nulls are a bucket of their own, which
+    # holds no rank but keeps its group
+    vals = (df.select(*k_cols, col(value).cast("double").alias("_v"))
+              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+              .withColumn("_b", F.coalesce(order_bucket(F.col("_v")), F.lit(NULL_BUCKET))))
 
     # 2. buckets: counts, running sum, and the wanted ranks each one holds
     by_group = Window.partitionBy(*k_cols)
     running = by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bk = (vals.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+    bk = (vals.groupBy(*keys, "_b").agg(F.sum(F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(F.lit(0))).alias("_bc"))
               .withColumn("_hi", F.sum("_bc").over(running))
               .withColumn("_n", F.sum("_bc").over(by_group))
               .withColumn("_lo", F.col("_hi") - F.col("_bc")))
-    # group sizes from the (small) bucket table; groups holding only nulls come
-    # from their single null row in ``vc`` (no extra pass over the values)
-    counted = bk.groupBy(*keys).agg(F.sum("_bc").cast("long").alias("_n"))
-    null_only = null_safe_join(vc.where(F.col("_v").isNull()).select(*k_cols), counted, keys, "left_anti")
-    sizes = counted.unionByName(null_only.select(*k_cols, F.lit(0).cast("long").alias("_n")))
+    # group sizes from the (small) bucket table
+    sizes = bk.groupBy(*keys).agg(F.sum("_bc").cast("long").alias("_n"))
     wanted = []
     for i, p in enumerate(probs):
         h = (F.col("_n") - 1) * F.lit(p)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions.quantiles import exact_quantiles
 from ..functions.sem import col, null_safe_join, render_text, safe_number, title_case
+from ..session import materialize
 from .reshape import answer_counts, answer_shares, long_values, shares_from_counts
 
 LOC = "call_location"
@@ -116,18 +117,17 @@ def stock_difficulty(df: DataFrame, loc: str = LOC) -> DataFrame:
     folded = df.select(col(loc), *[
         F.replace(F.replace(col(c), F.lit("dk"), F.lit("no")), F.lit("pnta"), F.lit("no")).alias(c)
         for c in cols])
-    shares = shares_from_counts(answer_counts(folded, cols, loc), [loc])
+    counts = answer_counts(folded, cols, loc).where(F.col("value").isNotNull())
+    yes, no, nn = (F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) for c in (F.col("value") == "yes", F.col("value") == "no", F.lit(True)))
+    found = counts.groupBy(col(loc), "name").agg(yes.alias("dif"), no.alias("no"), nn.alias("nn"))
     item = F.replace(F.col("name"), F.lit("stock_dif_"), F.lit(""))
-    yes = shares.where(F.col("value") == "yes").select(
-        col(loc), item.alias("item"), F.col("n").alias("dif"), F.col("pc").alias("dif_pc"))
-    all_no = shares.where((F.col("value") == "no") & (F.col("pc") == 1)).select(
-        col(loc), item.alias("item"), F.lit(0).cast("long").alias("dif"), F.lit(0.0).alias("dif_pc"))
-    return yes.unionByName(all_no)
+    return found.where((F.col("dif") > 0) | (F.col("no") == F.col("nn"))).select(
+        col(loc), item.alias("item"), "dif", (F.col("dif") / F.col("nn")).alias("dif_pc"))
 
 
 def stock_table(df: DataFrame, loc: str = LOC, vendor: str = VENDOR) -> DataFrame:
     """Stock sheet: length, time and difficulty per location and item, with vendor type."""
-    sq = stock_quantiles(df, loc)
+    sq = materialize(stock_quantiles(df, loc))  # location-level: feeds the length and the time side
     both = null_safe_join(stock_length(sq, loc), stock_time(sq, loc), [loc, "item"], "full")
     both = null_safe_join(both, stock_difficulty(df, loc), [loc, "item"], "full")
     both = both.join(vendor_items_no_unit(df, vendor), "item", "left")
