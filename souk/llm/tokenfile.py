@@ -140,7 +140,7 @@ class PieceEncoder:
     OTHER_GAP = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
     MARKS = ".,;:!?|#*$%&"
 
-    def __init__(self, path: str, kept: int = 200_000, kept_chars: int = 40):
+    def __init__(self, path: str, kept: int = 400_000, kept_chars: int = 40):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -186,55 +186,52 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The table's keys leave out a word's space; a word that begins a line has the line break."""
-        get, ends, marks = self.table.get, self.ends, self.MARKS
+        table, ends, marks = self.table, self.ends, self.MARKS
+        get, room = table.get, len(table) < self.kept
         line_break = np.array([self.line_break], "<u4").tobytes()
-        rows, new, new_ends = [], {}, {}
+        rows: list[list[bytes] | None] = []
+        new: dict[str, str] = {}
+        open_: list[tuple[list, int, str, str]] = []  # words that the table lacks: row, place, word, marks after it
         for text in texts:
             if not text or self.odd(text):
                 rows.append(None)
                 continue
             keys = ("\n" + text.replace("\n", " \n")).split(" ")
             values = list(map(get, keys))
-            tails = None
-            if None in values:
-                tails = {}
-                for at, value in enumerate(values):
-                    if value is not None:
+            rows.append(values)
+            for at in [n for n, value in enumerate(values) if value is None] if None in values else ():
+                key = keys[at]
+                word = key.rstrip(marks)
+                tail = ""
+                if word is not key and word and word[-1].isalnum():
+                    tail = key[len(word):]
+                    value, end = get(word), ends.get(tail)
+                    if value is not None and end is not None:
+                        values[at] = value = value + end
+                        if room:
+                            table[key] = value
                         continue
-                    key = keys[at]
-                    core = key.rstrip(marks)
-                    if core is not key and core and core[-1].isalnum():
-                        tail = key[len(core):]
-                        if tail not in ends:
-                            new_ends[tail] = tail
-                        tails[at] = tail
-                        keys[at] = key = core
-                        values[at] = value = get(core)
-                    if value is None:
-                        new[key] = key[1:] if key[0] == "\n" else " " + key
-            rows.append((keys, values, tails))
+                else:
+                    word = key
+                open_.append((values, at, word, tail))
+                if word not in table:
+                    new[word] = word[1:] if word[0] == "\n" else " " + word
         fresh = dict(zip(new, self.pieces(list(new.values()))))
-        for key, data in fresh.items():
-            if key[0] == "\n":
-                fresh[key] = line_break + data
-        ends.update(zip(new_ends, self.pieces(list(new_ends))))
-        whole = iter(self.plain([t for t, row in zip(texts, rows) if t and row is None]))
-        ids = []
-        for text, row in zip(texts, rows):
-            if row is None:
-                ids.append(next(whole) if text else b"")
-                continue
-            keys, values, tails = row
-            if tails is not None:
-                values = [fresh[k] if v is None else v for k, v in zip(keys, values)]
-                for at, tail in tails.items():
-                    values[at] += ends[tail]
-            ids.append(b"".join(values)[4:])  # the first word follows no line break
-        if len(self.table) < self.kept:
-            self.table.update((k, v) for k, v in fresh.items() if len(k) <= self.kept_chars)
+        for word, data in fresh.items():
+            if word[0] == "\n":
+                fresh[word] = line_break + data
+        tails = sorted({tail for *_, tail in open_ if tail and tail not in ends})
+        ends.update(zip(tails, self.pieces(tails)))
+        for values, at, word, tail in open_:
+            value = fresh.get(word) or table[word]
+            values[at] = value + ends[tail] if tail else value
+        if room:
+            table.update((w, v) for w, v in fresh.items() if len(w) <= self.kept_chars)
         if len(ends) > 10_000:
             ends.clear()
-        return ids
+        whole = iter(self.plain([t for t, values in zip(texts, rows) if t and values is None]))
+        # the first word follows no line break
+        return [(b"".join(values)[4:] if values is not None else next(whole) if text else b"") for text, values in zip(texts, rows)]
 
 
 # ------------------------------------------------------------ writing, reading
