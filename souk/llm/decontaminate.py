@@ -7,7 +7,7 @@ in the document). Both are compared as lower-cased words joined by one space.
 Each item is cut into k + 1 pieces; k edits leave one piece whole, so every
 occurrence has an exact piece hit. One Aho-Corasick automaton finds the hits of
 all items' pieces in a pass over each whole document. The window around each
-hit must hold enough of the item's 3-grams (k edits spoil at most 3k of them),
+hit must hold all but k of the item's disjoint grams (an edit spoils at most one),
 and is then verified with Myers' bit-parallel distance.
 
 Documents are read in parallel and never shuffled. The items go to every task in
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from souk.llm.common import id_text, map_text, texts_of
 
 WORD = re.compile(r"\w+")
-GRAM = 3
+GRAM = 5
 
 
 def normal(text: str) -> str:
@@ -53,12 +53,17 @@ class Pattern:
         self.bits: dict[str, int] = {}
         for i, c in enumerate(item):
             self.bits[c] = self.bits.get(c, 0) | 1 << i
-        self.grams = {item[i:i + GRAM] for i in range(len(item) - GRAM + 1)}
-        self.least_grams = len(item) - GRAM + 1 - GRAM * k
+        self.grams = [item[i:i + GRAM] for i in range(0, len(item) - GRAM + 1, GRAM)]
 
     def plausible(self, window: str) -> bool:
-        grams = self.grams
-        return sum(window[i:i + GRAM] in grams for i in range(len(window) - GRAM + 1)) >= self.least_grams
+        """Whether all but k of the item's disjoint grams are in the window: an edit spoils one."""
+        missing = 0
+        for gram in self.grams:
+            if gram not in window:
+                missing += 1
+                if missing > self.k:
+                    return False
+        return True
 
     def search(self, text: str) -> tuple[int, int]:
         """Smallest distance of the item to any part of ``text``, and the end of the first such."""
