@@ -570,4 +570,15 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
                                ("sheet_supplier2", "supplier_numbers", "global_supplier_numbers"),
                                ("sheet_credit2", "credit_numbers", "global_credit_numbers")):
         out[sheet] = f"SELECT * FROM ({out[local]}) l UNION ALL BY NAME SELECT * FROM ({out[glob]}) g"
+    out["compare_bundles"] = f"SELECT 'data' AS sheet, item, value FROM ({out['compare_summary']}) c"
+    out["row_index"] = with_survey(f"SELECT {q('uuid')}, row_number() OVER (ORDER BY {q('uuid')}) AS position FROM survey")
+    from .registry import CSV_COLUMNS
+    texts = ("uuid", "call_location", "enumerator", "barrier_finance")
+    out["read_csv"] = with_survey("SELECT " + ", ".join(
+        f"CASE WHEN {q(c)} IN ('', ' ', 'NA') THEN NULL ELSE {q(c)} END AS {q(c)}" if c in texts else q(c) for c in CSV_COLUMNS) + " FROM survey")
+    from .analysis import SHEETS
+    of = {"items": "sheet_items", "stock": "sheet_stock", "barrier": "global_barrier_wide", "payment": "global_payment_wide",
+          "supplier1": "sheet_supplier1", "supplier2": "sheet_supplier2", "credit1": "global_credit_wide", "credit2": "sheet_credit2"}
+    out["analysis_bundle"] = " UNION ALL ".join(
+        f"SELECT {i} AS position, '{s}' AS sheet, (SELECT count(*) FROM ({out[of[s]]}) x{i}) AS n" for i, s in enumerate(SHEETS))
     return out

@@ -7,19 +7,21 @@ Every query reads the driver's tables through the survey-shaped views of
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sem import round_doubles
+from ..functions.sem import round_doubles, union_all_by_name
 from ..operators import compare as C
 from ..operators import indicators as I
 from ..operators import quality as Q
 from ..operators import rollup as R
 from ..operators import similarity as SIM
-from ..session import materialize
-from ..sources import demo
+from ..session import ensure_checkpoint_dir, materialize
+from ..sources import demo, io
+from .analysis import analyse, write_analysis
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -322,6 +324,41 @@ def q_enumerator_similarity(spark, d):
     return SIM.enumerator_similarity(_survey(spark, d), types, "enumerator", "call_location")
 
 
+# ---- reading and writing -----------------------------------------------------------
+
+CSV_COLUMNS = ["uuid", "index", "call_location", "enumerator", "price_usd_rare_1kg", "barrier_finance", "supplier_number"]
+
+
+@register("read_csv")
+def q_read_csv(spark, d):
+    """A survey written as CSV files and read back by the survey CSV rules."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/souk-csv-{uuid.uuid4().hex}"
+    _survey(spark, d).select(*CSV_COLUMNS).write.option("header", True).csv(path)
+    return io.read_survey_csv(spark, path)
+
+
+@register("row_index")
+def q_row_index(spark, d):
+    return io.with_row_index(_survey(spark, d).select("uuid"), ["uuid"], "position")
+
+
+@register("analysis_bundle")
+def q_analysis_bundle(spark, d):
+    """The eight sheets written as a bundle and read back: each sheet's place and rows."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/souk-bundle-{uuid.uuid4().hex}"
+    write_analysis(analyse(_survey(spark, d)), path)
+    sheets = io.read_bundle(spark, path)
+    return union_all_by_name([df.groupBy().agg(F.lit(i).alias("position"), F.lit(name).alias("sheet"), F.count(F.lit(1)).alias("n"))
+                              for i, (name, df) in enumerate(sheets.items())])
+
+
+@register("compare_bundles")
+def q_compare_bundles(spark, d):
+    found = C.compare_bundles({"data": _survey(spark, d), "deletions": demo.deletions(spark, d)},
+                              {"data": demo.survey_edited(spark, d)}, {"data": ["uuid"]})
+    return union_all_by_name([df.select(F.lit(name).alias("sheet"), "item", "value") for name, df in found.items()])
+
+
 # ---- assembled sheets (location rows + _global rows) ------------------------------
 
 @register("sheet_items")
