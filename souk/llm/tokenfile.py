@@ -138,9 +138,10 @@ class PieceEncoder:
 
     DOUBLE = ("  ", "\n\n", " \n", "\n ")
     OTHER_GAP = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+    ASCII_GAPS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
     MARKS = ".,;:!?|#*$%&"
 
-    def __init__(self, path: str, kept: int = 400_000, kept_chars: int = 40):
+    def __init__(self, path: str, kept: int = 700_000, kept_chars: int = 40):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -165,7 +166,17 @@ class PieceEncoder:
 
     def odd(self, text: str) -> bool:
         """Whether a text has white space other than single spaces and line breaks inside."""
-        return text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self.DOUBLE) or bool(self.OTHER_GAP.search(text))
+        if text[0] in " \n" or text[-1] in " \n":
+            return True
+        for gap in self.DOUBLE:
+            if gap in text:
+                return True
+        if text.isascii():
+            for gap in self.ASCII_GAPS:
+                if gap in text:
+                    return True
+            return False
+        return self.OTHER_GAP.search(text) is not None
 
     def plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
