@@ -6,17 +6,17 @@ sequence), XXH64 with a seed of each; a bit is 1 if it is set in over half of
 the hashes. No words: fingerprint zero, linked like any other.
 
 Join: fingerprints are first made distinct, so exact copies cost nothing. With
-``bits`` errors allowed, the 64 bits are cut into ``bits + 1`` blocks; two
-fingerprints within the distance agree on one block at least. For each block
-the trie is read with that block's bits first, so a node pair below the block's
-depth is a pair (node, itself): the block's value is the key that Spark deals
-out. Below it a task goes through the node pairs together, level by level,
-adds up the differing bits and drops a pair as soon as they exceed ``bits``.
-Node pairs whose leaves are already linked into one class are dropped too, so
-a dense group costs about its size and gives a spanning set of links, not all
-pairs. A key with more fingerprints than ``cap`` is split into its next trie
-nodes of at most ``cap`` leaves; each pair of such nodes that the budget allows
-is a task of its own.
+``bits`` errors allowed, the 64 bits are cut into ``bits + whole`` blocks; two
+fingerprints within the distance agree on ``whole`` blocks at least. For each set
+of that many blocks the trie is read with their bits first, so a node pair below
+their depth is a pair (node, itself): the blocks' value is the key that Spark deals
+out (``whole`` grows with the number of fingerprints, so that keys stay small; the
+classes are the same). Below it a task goes through the node pairs together, level
+by level, adds up the differing bits and drops a pair as soon as they exceed
+``bits``. Node pairs whose leaves are already linked into one class are dropped
+too, so a dense group costs about its size and gives a spanning set of links, not
+all pairs. A key with more fingerprints than ``cap`` is split into salted parts;
+each pair of parts is a task of its own.
 
 Classes: repeated contraction of the links by the smallest neighbour, each
 round written to the shared folder, until no link is left.
@@ -28,6 +28,8 @@ fingerprint; other columns are ignored; empty tables give empty tables.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -157,28 +159,58 @@ def trie_links(keys: np.ndarray, pairs: np.ndarray, depth: np.ndarray, bits: int
     return label
 
 
-def blocks(bits: int) -> list[tuple[int, int]]:
-    """(first bit from the top, width) of the ``bits + 1`` blocks."""
-    cut = [round(WORD_BITS * i / (bits + 1)) for i in range(bits + 2)]
+def blocks(bits: int, whole: int = 1) -> list[tuple[int, int]]:
+    """(first bit from the top, width) of the ``bits + whole`` blocks."""
+    n = bits + whole
+    cut = [round(WORD_BITS * i / n) for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cut, cut[1:])]
 
 
+def block_sets(bits: int, whole: int = 1) -> list[tuple[int, ...]]:
+    """The sets of ``whole`` blocks; within ``bits`` errors one set at least is untouched."""
+    return list(combinations(range(bits + whole), whole))
+
+
+def set_width(bits: int, whole: int) -> int:
+    """The fewest bits that a set of blocks has."""
+    return min(sum(blocks(bits, whole)[b][1] for b in chosen) for chosen in block_sets(bits, whole))
+
+
+def blocks_for(n: int, bits: int, leaves: int = 512) -> int:
+    """How many whole blocks to key by, so that ``n`` spread-out fingerprints leave about
+    ``leaves`` to a key at most. Any number gives the same classes."""
+    whole = 1
+    while n > leaves << set_width(bits, whole) and whole < 4:
+        whole += 1
+    return whole
+
+
+def turned(fp: np.ndarray, cuts: list[tuple[int, int]], first: tuple[int, ...]) -> np.ndarray:
+    """The fingerprints with the bits of the blocks ``first`` in front."""
+    out = np.zeros(len(fp), np.uint64)
+    for b in (*first, *(b for b in range(len(cuts)) if b not in first)):
+        start, width_ = cuts[b]
+        part = (fp >> np.uint64(WORD_BITS - start - width_)) & np.uint64((1 << width_) - 1)
+        out = (out << np.uint64(width_)) | part
+    return out
+
+
 # ------------------------------------------------------------------- the join
-def join_links(keyed: DataFrame, bits: int, flush_rows: int = 1 << 17) -> DataFrame:
+def join_links(keyed: DataFrame, bits: int, whole: int = 1, flush_rows: int = 1 << 17) -> DataFrame:
     """Links (a, b) that span the classes found in each task of ``keyed``
     (block, value, i, j, side, fp), which is dealt out by task and sorted by it."""
-    cuts = blocks(bits)
-    starts = np.array([s for s, _ in cuts], dtype=np.uint64)
-    widths = np.array([w for _, w in cuts], dtype=np.int64)
+    cuts, sets = blocks(bits, whole), block_sets(bits, whole)
+    widths = np.array([sum(cuts[b][1] for b in chosen) for chosen in sets], dtype=np.int64)
     names = ["block", "value", "i", "j", "side", "fp"]
 
     def solve(rows):
         block, value, i, j, side, fp = rows
-        cut = starts[block]
-        back = (np.uint64(WORD_BITS) - cut) % np.uint64(WORD_BITS)
-        turned = (fp << cut) | np.where(cut > 0, fp >> back, np.uint64(0))
-        order = np.lexsort((turned, side, j, i, value, block))
-        block, value, i, j, side, fp, turned = (x[order] for x in (block, value, i, j, side, fp, turned))
+        front = np.empty(len(fp), np.uint64)
+        for k in np.unique(block).tolist():
+            here = block == k
+            front[here] = turned(fp[here], cuts, sets[k])
+        order = np.lexsort((front, side, j, i, value, block))
+        block, value, i, j, side, fp, front = (x[order] for x in (block, value, i, j, side, fp, front))
         edge = (block[1:] != block[:-1]) | (value[1:] != value[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         lo = np.concatenate([[0], np.flatnonzero(edge) + 1])
         hi = np.concatenate([lo[1:], [len(fp)]])
@@ -187,7 +219,7 @@ def join_links(keyed: DataFrame, bits: int, flush_rows: int = 1 << 17) -> DataFr
         itself = i[lo] == j[lo]
         live = np.where(itself, hi - lo > 1, (mid > lo) & (mid < hi))
         pairs = np.stack([lo, np.where(itself, hi, mid), np.where(itself, lo, mid), hi], axis=1)[live]
-        label = trie_links(turned, pairs, widths[block[lo]][live], bits)
+        label = trie_links(front, pairs, widths[block[lo]][live], bits)
         signed = fp.view(np.int64)
         centre = np.full(len(fp), np.iinfo(np.int64).max)
         np.minimum.at(centre, label, signed)
@@ -216,17 +248,25 @@ def join_links(keyed: DataFrame, bits: int, flush_rows: int = 1 << 17) -> DataFr
     return keyed.select(*names).mapInArrow(run, "a long, b long")
 
 
-def keyed_nodes(nodes: DataFrame, bits: int, cap: int) -> DataFrame:
-    """Tasks of the join: every fingerprint under its value of each block; a value with over
-    ``cap`` fingerprints in salted parts, a task for each pair of parts."""
-    value = [F.shiftrightunsigned(F.col("fp"), WORD_BITS - s - w).bitwiseAND(F.lit((1 << w) - 1)).cast("int")
-             for s, w in blocks(bits)]
-    rows = nodes.select("fp", F.posexplode(F.array(*value)).alias("block", "value"))
-    # at most (bits + 1) * fingerprints / cap values are over the cap, and the cap is at least
-    # twice the mean of a value: fewer than (bits + 1) * 2 ** (block width) / 2 rows to broadcast
+BROADCAST_ROWS = 500_000
+
+
+def keyed_nodes(nodes: DataFrame, bits: int, whole: int, cap: int) -> DataFrame:
+    """Tasks of the join: every fingerprint under its value of each set of blocks; a value with
+    over ``cap`` fingerprints in salted parts, a task for each pair of parts."""
+    cuts = blocks(bits, whole)
+    bits_of = [F.shiftrightunsigned(F.col("fp"), WORD_BITS - s - w).bitwiseAND(F.lit((1 << w) - 1)) for s, w in cuts]
+    values = []
+    for chosen in block_sets(bits, whole):
+        value = bits_of[chosen[0]]
+        for b in chosen[1:]:
+            value = F.shiftleft(value, cuts[b][1]).bitwiseOR(bits_of[b])
+        values.append(value)
+    rows = nodes.select("fp", F.posexplode(F.array(*values)).alias("block", "value"))
     hot = rows.groupBy("block", "value").count().filter(F.col("count") > cap)
-    hot = hot.select("block", "value", F.ceil(2 * F.col("count") / cap).cast("int").alias("parts"))
-    rows = rows.join(F.broadcast(hot), ["block", "value"], "left")
+    hot = scratch_table(hot.select("block", "value", F.ceil(2 * F.col("count") / cap).cast("int").alias("parts")), "simhash-hot")
+    # a checked size to broadcast; beyond it a shuffled join
+    rows = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, ["block", "value"], "left")
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     other = F.sequence(F.lit(0), F.col("parts") - 1)
     tasks = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))) \
@@ -236,15 +276,17 @@ def keyed_nodes(nodes: DataFrame, bits: int, cap: int) -> DataFrame:
     return rows.select("block", "value", "t.i", "t.j", "t.side", "fp")
 
 
-def links(fps: DataFrame, bits: int = 4, cap: int = 1024) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that span the classes of each task."""
+def links(fps: DataFrame, bits: int = 4, cap: int = 1024, whole: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints that span the classes of each task.
+    ``whole``: blocks that make up a key (default by the number of fingerprints)."""
     spark = fps.sparkSession
     nodes = scratch_table(fps.select("fp").distinct(), "simhash-nodes")
-    mean = nodes.count() / 2 ** min(w for _, w in blocks(bits))
-    keyed = keyed_nodes(nodes, bits, max(cap, int(2 * mean)))
+    n = nodes.count()
+    whole = whole or blocks_for(n, bits)
+    keyed = keyed_nodes(nodes, bits, whole, max(cap, 2 * n >> set_width(bits, whole)))
     key = ["block", "value", "i", "j"]
     dealt = keyed.repartition(width(spark), *key).sortWithinPartitions(*key)
-    return join_links(dealt, bits)
+    return join_links(dealt, bits, whole)
 
 
 # ------------------------------------------------------------------- classes

@@ -57,11 +57,23 @@ def test_components_equal_brute_force_with_and_without_split_keys(spark):
 def test_split_dense_group(spark):
     keys = ball(7, 400, 3).view(np.int64).tolist()
     fps = spark.createDataFrame([(i, f) for i, f in enumerate(keys)], "doc_id long, fp long")
-    found = {r["node"]: r["root"] for r in simhash.classes(simhash.links(fps, 4, cap=16)).collect()}
     label = brute_classes(np.array(keys).view(np.uint64), 4)
-    for i, f in enumerate(keys):
-        same = {keys[j] for j in np.flatnonzero(label == label[i])}
-        assert found.get(f, f) == min(same)
+    for whole, cap in ((1, 16), (2, 16), (3, 1024), (4, 64)):
+        found = {r["node"]: r["root"] for r in simhash.classes(simhash.links(fps, 4, cap, whole)).collect()}
+        for i, f in enumerate(keys):
+            same = {keys[j] for j in np.flatnonzero(label == label[i])}
+            assert found.get(f, f) == min(same)
+
+
+def test_blocks_grow_with_the_fingerprints():
+    assert [simhash.blocks_for(n, 4) for n in (0, 200_000, 20_000_000, 10**10, 10**12)] == [1, 1, 2, 3, 4]
+    for whole in (1, 2, 3):
+        cuts = simhash.blocks(4, whole)
+        assert sum(w for _, w in cuts) == 64 and len(cuts) == 4 + whole
+        fp = np.array([0x0123456789ABCDEF, 2**64 - 1, 0], np.uint64)
+        for chosen in simhash.block_sets(4, whole):
+            out = simhash.turned(fp, cuts, chosen)
+            assert (np.bitwise_count(out) == np.bitwise_count(fp)).all() and out[1] == fp[1]
 
 
 def test_odd_rows(spark, odd, empty):
