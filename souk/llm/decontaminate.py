@@ -97,7 +97,7 @@ class Matcher:
     def __init__(self, items: list[tuple], error_rate: float, least_chars: int):
         import ahocorasick
 
-        self.ids, self.patterns, self.reversed = [], [], []
+        self.ids, self.patterns = [], []
         hits: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             item = normal(text or "")
