@@ -5,7 +5,6 @@ order-insensitive values) at sf0.001; queries without an oracle must run.
 """
 
 import math
-import os
 
 import duckdb
 import pytest

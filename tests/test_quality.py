@@ -1,7 +1,6 @@
 """Validation and comparison operators on hand-made tables."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from souk.operators import compare as C
 from souk.operators import quality as Q
