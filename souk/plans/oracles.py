@@ -468,7 +468,7 @@ def _silhouette_cols() -> list[str]:
             and c not in (LOC.strip('"'), "enumerator", "index")]
 
 
-def _nearest_sql(max_diff: int) -> str:
+def _nearest_sql(max_diff: int, copies: bool = True) -> str:
     cols = _answer_cols()
     idx = q("index")
     vals = ", ".join(f"coalesce({demo.render_sql(q(c), _survey_type(c))}, 'NA') AS {q(c)}" for c in cols)
@@ -478,7 +478,8 @@ def _nearest_sql(max_diff: int) -> str:
         bands.append(f"SELECT a.id AS i, b.id AS j FROM m a JOIN m b ON {on} WHERE a.id < b.id")
     dist = " + ".join(f"CASE WHEN a.{q(c)} = b.{q(c)} THEN 0 ELSE 1 END" for c in cols)
     not_na = " + ".join(f"CASE WHEN {q(c)} <> 'NA' THEN 1 ELSE 0 END" for c in cols)
-    ctes = (f"sample AS ({demo.survey_copies_sql('duckdb', source='survey0')}), "
+    source = demo.survey_copies_sql("duckdb", source="survey0") if copies else "SELECT * FROM survey0"
+    ctes = (f"sample AS ({source}), "
             f"m AS (SELECT CAST({idx} AS BIGINT) AS id, {vals} FROM sample), "
             f"cand AS (SELECT DISTINCT i, j FROM ({' UNION ALL '.join(bands)}) u), "
             f"scored AS (SELECT cand.i, cand.j, {dist} AS d FROM cand JOIN m a ON a.id = cand.i "
@@ -576,6 +577,15 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     texts = ("uuid", "call_location", "enumerator", "barrier_finance")
     out["read_csv"] = with_survey("SELECT " + ", ".join(
         f"CASE WHEN {q(c)} IN ('', ' ', 'NA') THEN NULL ELSE {q(c)} END AS {q(c)}" if c in texts else q(c) for c in CSV_COLUMNS) + " FROM survey")
+    out["drop_all_null_columns"] = with_survey("SELECT " + ", ".join(q(c) for c in CSV_COLUMNS) + " FROM survey")
+    counts = {"deleted_still_in_data": "undeleted", "uuid_not_in_dataset": "log_unknown_uuids",
+              "questions_not_in_dataset": "log_unknown_questions", "cleaning_log_not_applied": "check_log",
+              "cleaning_check": "attach_issue_owner", "enumerator_similarity": "enumerator_similarity"}
+    sql = {name: out[query] for name, query in counts.items()} | {"similar_surveys": _nearest_sql(5, copies=False)}
+    # name findings have no row index, so they belong to no logged interview
+    more = {"cleaning_check": _sensitive_sql().count("UNION ALL")}
+    out["validation_outputs"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS output, (SELECT count(*) FROM ({text}) v{i}) + {more.get(name, 0)} AS n" for i, (name, text) in enumerate(sql.items()))
     from .analysis import SHEETS
     of = {"items": "sheet_items", "stock": "sheet_stock", "barrier": "global_barrier_wide", "payment": "global_payment_wide",
           "supplier1": "sheet_supplier1", "supplier2": "sheet_supplier2", "credit1": "global_credit_wide", "credit2": "sheet_credit2"}

@@ -7,12 +7,14 @@ Every query reads the driver's tables through the survey-shaped views of
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..functions.sem import round_doubles, union_all_by_name
 from ..operators import compare as C
 from ..operators import indicators as I
@@ -22,6 +24,7 @@ from ..operators import similarity as SIM
 from ..session import ensure_checkpoint_dir, materialize
 from ..sources import demo, io
 from .analysis import analyse, write_analysis
+from .validation import validate, write_validation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -352,6 +355,22 @@ def q_analysis_bundle(spark, d):
                               for i, (name, df) in enumerate(sheets.items())])
 
 
+@register("validation_outputs")
+def q_validation_outputs(spark, d):
+    """All outputs of the validation run, written with a run date and read back: rows of each."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/souk-validation-{uuid.uuid4().hex}"
+    outs = validate(_survey(spark, d), _log(spark, d), demo.deletions(spark, d), demo.tool(spark))
+    paths = write_validation(outs, folder, run_date=dt.date(2021, 8, 1))
+    return union_all_by_name([spark.read.parquet(p).groupBy().agg(F.lit(name).alias("output"), F.count(F.lit(1)).alias("n"))
+                              for name, p in paths.items()])
+
+
+@register("drop_all_null_columns")
+def q_drop_all_null_columns(spark, d):
+    survey = _survey(spark, d).select(*CSV_COLUMNS)
+    return N.drop_all_null_columns(survey.withColumn("unanswered", F.lit(None).cast("string")))
+
+
 @register("compare_bundles")
 def q_compare_bundles(spark, d):
     found = C.compare_bundles({"data": _survey(spark, d), "deletions": demo.deletions(spark, d)},
