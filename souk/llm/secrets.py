@@ -4,11 +4,12 @@ Labelled credentials are the values that the base patterns find in a bounded
 sample of documents. They go into a prefix tree with counts; states whose
 outgoing frequencies agree within the Hoeffding bound are merged (red-blue
 order), which leaves a small probabilistic automaton of the formats. A second
-automaton is learned the same way from ordinary tokens of the sample. Every
-candidate token of every text is scored by its log2 likelihood under both; it
-is a secret if its bits a character in favour of the credentials are over a
-level half-way between what nearly no ordinary token passes and what nearly all
-labelled credentials reach. Base spans always stay; a candidate that overlaps one is not added.
+automaton is learned the same way from ordinary tokens of the sample, without those
+that the credentials' automaton prefers: credentials no base pattern knows are among
+them. Every candidate token of every text is scored by its log2 likelihood under both;
+it is a secret if the likelihood ratio is over 2^``least_bits`` and its bits a character
+in favour of the credentials are over half of what nearly all labelled credentials
+kept out of the fit reach. Base spans always stay; a candidate that overlaps one is not added.
 
 Defined results: null text has no spans; without labelled credentials no spans
 are added; overlapping spans of different kinds are all reported, and redacted
@@ -35,7 +36,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+LEAST_CHARS = 16
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{LEAST_CHARS},}}")
 ORDINARY = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 REDACTED = "[SECRET]"
@@ -181,9 +183,26 @@ def margin(model: dict, word: str) -> float:
 
 
 # ------------------------------------------------------------------- operator
+def fit(secret: list[str], ordinary: list[str], secret_quantile: float = 0.02, rounds: int = 8) -> dict:
+    """Both automata and the level. A quarter of the credentials, by hash, is kept out of the fit
+    and gives the level; ordinary words that the credentials' automaton prefers are left out of theirs."""
+    held = [w for w in secret if zlib.crc32(b"held" + w.encode()) % 4 == 0]
+    learned = [w for w in secret if zlib.crc32(b"held" + w.encode()) % 4]
+    model = {"secret": Automaton(learned or secret).tables()}
+    # words too short for a candidate know least of the credentials that lie among the others
+    kept = [w for w in ordinary if len(w) < LEAST_CHARS] or ordinary
+    for _ in range(rounds):
+        model["ordinary"] = Automaton(kept or ["word"]).tables()
+        last, kept = kept, [w for w in ordinary if margin(model, w) <= 0]
+        if kept == last:
+            break
+    reach = float(np.quantile([margin(model, w) for w in held or secret], secret_quantile))
+    return model | {"level": max(0.0, reach / 2)}
+
+
 def learn(docs: DataFrame, sample_docs: int = 20_000, most_words: int = 4000, secret_quantile: float = 0.02,
-          ordinary_quantile: float = 0.9999) -> dict | None:
-    """Both automata and the level, from about ``sample_docs`` whole documents chosen by a
+          least_bits: float = 16.0) -> dict | None:
+    """Both automata and the levels, from about ``sample_docs`` whole documents chosen by a
     hash of doc_id; ``most_words`` words of each sort at most come to the fit."""
     share = int((1 << 20) * min(1.0, sample_docs / max(1, docs.count())))
     rows = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(1 << 20)) < share)
@@ -208,10 +227,7 @@ def learn(docs: DataFrame, sample_docs: int = 20_000, most_words: int = 4000, se
         found[sort] = sorted(r["word"] for r in top.collect())
     if not found[1]:
         return None
-    model = {"secret": Automaton(found[1]).tables(), "ordinary": Automaton(found[0] or ["word"]).tables()}
-    reach = np.quantile([margin(model, w) for w in found[1]], secret_quantile)
-    beyond = np.quantile([margin(model, w) for w in found[0]] or [0.0], ordinary_quantile)
-    return model | {"level": max(0.0, float(beyond), float(reach + min(reach, beyond)) / 2)}
+    return fit(found[1], found[0], secret_quantile) | {"least_bits": least_bits}
 
 
 def all_spans(text: str, model: dict | None) -> list[tuple[int, int, int]]:
@@ -223,7 +239,7 @@ def all_spans(text: str, model: dict | None) -> list[tuple[int, int, int]]:
             start, end = m.span()
             if any(s < end and start < e for s, _, e, _ in base):
                 continue
-            if margin(model, m.group()) > model["level"]:
+            if margin(model, m.group()) > max(model["level"], model["least_bits"] / (end - start)):
                 spans.append((start, 3, end))
     return sorted(spans)
 

@@ -72,6 +72,19 @@ def test_added_spans_and_redaction(spark):
         assert clean[i]["n_chars"] == len(clean[i]["text"])
 
 
+def test_bare_keys_of_learned_formats_are_all_found(spark):
+    rnd = random.Random(7)
+    key = lambda: "xk-" + "".join(rnd.choice("0123456789") for _ in range(8)) + "-" + "".join(rnd.choice("GHJKLMNP") for _ in range(12))
+    prose = lambda: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 22))) for _ in range(30))
+    for bare in (5, 150):
+        rows = [(i, f'{prose()} api_key = "{key()}" {prose()}') for i in range(120)] + [(1000 + i, f"{prose()} {key()} {prose()}") for i in range(bare)]
+        docs = spark.createDataFrame(rows + [(5000 + i, prose()) for i in range(100)], "doc_id long, text string")
+        got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs, secrets.learn(docs)).collect()}
+        for doc_id, text in rows[120:]:
+            assert [text[s["start"]:s["end"]] for s in got[doc_id] if s["kind"] == "format"] == re.findall(r"xk-\S+", text)
+        assert not any(got[5000 + i] for i in range(100))
+
+
 def test_odd_rows(spark, odd, empty):
     model = secrets.learn(odd)
     got = secrets.scan(odd, model).collect()
