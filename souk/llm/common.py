@@ -40,13 +40,21 @@ def label_part(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % parts
 
 
+def hash_below(salt: str, share: float) -> Column:
+    """Whether a row's doc_id hash falls in the first ``share`` of all 64-bit hashes: a share of
+    any size above 0 picks its part of the rows."""
+    most = (1 << 63) - 1
+    # the hash is signed; 1 stands for every row, a null doc_id among them
+    at = int(min(1.0, share) * 2.0**64) - (1 << 63)
+    return F.xxhash64(F.col("doc_id"), F.lit(salt)) <= F.lit(min(at, most))
+
+
 def labelled_sample(rows: DataFrame, label: str, per_class: int, total: dict) -> DataFrame:
     """About ``per_class`` rows of each label value at most, chosen by a hash of doc_id
     (the same rows at every run and partitioning). ``total``: rows of each label value."""
     keep = F.lit(False)
-    pick = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20))
     for value, n in total.items():
-        keep = keep | ((F.col(label) == value) & (pick < F.lit(int((1 << 20) * min(1.0, per_class / max(1, n))))))
+        keep = keep | ((F.col(label) == value) & hash_below("sample", per_class / max(1, n)))
     return rows.filter(keep)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import id_text, map_text, texts_of
+from souk.llm.common import hash_below, id_text, map_text, texts_of
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -204,8 +204,7 @@ def learn(docs: DataFrame, sample_docs: int = 20_000, most_words: int = 4000, se
           least_bits: float = 16.0) -> dict | None:
     """Both automata and the levels, from about ``sample_docs`` whole documents chosen by a
     hash of doc_id; ``most_words`` words of each sort at most come to the fit."""
-    share = int((1 << 20) * min(1.0, sample_docs / max(1, docs.count())))
-    rows = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(1 << 20)) < share)
+    rows = docs.filter(hash_below("secrets", sample_docs / max(1, docs.count())))
 
     def gather(batches):
         secret: set[str] = set()

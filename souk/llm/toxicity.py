@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import id_text, int64, label_part, lists, map_text, scratch_table, texts_of
+from souk.llm.common import hash_below, id_text, int64, label_part, lists, map_text, scratch_table, texts_of
 
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 6)
@@ -90,13 +90,11 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int, held_out: int, positiv
     if not n_toxic:
         return {"words": {}, "bias": -30.0}
     prior = min(0.9, max(0.001, n_toxic / n_known))
-    pick = F.pmod(F.xxhash64("doc_id", F.lit("pu")), F.lit(1 << 20))
     # at most about ``positives`` rows: bounded by the sample's share
-    chosen = known.filter((F.col("toxic") == 1) & (pick < int((1 << 20) * min(1.0, positives / n_toxic)))).select("doc_id").distinct()
+    chosen = known.filter((F.col("toxic") == 1) & hash_below("pu", positives / n_toxic)).select("doc_id").distinct()
     rows = docs.filter(label_part("doc_id", parts) != held_out).select("doc_id", "text")
     rows = rows.join(F.broadcast(chosen.withColumn("souk_sure", F.lit(1))), "doc_id", "left")
-    share = int((1 << 20) * min(1.0, unlabelled / max(1, docs.count())))
-    other = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 20)) < share
+    other = hash_below("unlabelled", unlabelled / max(1, docs.count()))
     rows = rows.filter(F.col("souk_sure").isNotNull() | other)
     rows = rows.select(F.col("souk_sure").isNotNull().alias("sure"), other.alias("other"), F.col("text").cast("binary").alias("text"))
 
