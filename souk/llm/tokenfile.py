@@ -24,7 +24,8 @@ its start in the file plus a two-level running sum of the files' sizes.
 
 Encoding uses the tokenizers library. A text is cut at its single spaces and
 line breaks and before the marks that end a word, where a token always ends, and
-the ids of words met before are kept in a bounded table of the Python worker.
+the ids of words met before are kept in a bounded table of the Python worker. A text that
+holds one of the file's added tokens goes to the library whole.
 
 Defined results: null text counts as empty: only the end id; repeated rows are
 written each; other columns are ignored; an empty table gives no file.
@@ -134,21 +135,27 @@ class PieceEncoder:
 
     A text is cut before its single spaces and line breaks, and before the marks that
     end a word: the tokenizer's pattern always ends a match there. ``kept`` words
-    stay in the table, those of up to ``kept_chars`` characters."""
+    stay in the table, those of up to ``kept_chars`` characters. With ``added_tokens`` the
+    file's added tokens in a text get their own ids, as the library loads it; without, they
+    are encoded like other text."""
 
     DOUBLE = ("  ", "\n\n", " \n", "\n ")
     OTHER_GAP = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
     ASCII_GAPS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
     MARKS = ".,;:!?|#*$%&"
 
-    def __init__(self, path: str, kept: int = 700_000, kept_chars: int = 40):
+    def __init__(self, path: str, kept: int = 700_000, kept_chars: int = 40, added_tokens: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # with added tokens the tokenizer stays as the library loads it
+        if not added_tokens:
+            self.tokenizer.encode_special_tokens = True
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if added_tokens or not t.special]
+        self.added = sorted(t.content for t in added)
         (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.table: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {}
@@ -161,13 +168,17 @@ class PieceEncoder:
 
         encoders = tokenizers.__dict__.setdefault("souk_encoders", {})
         if path not in encoders:
-            encoders[path] = cls(path)
+            encoders[path] = cls(path, added_tokens=True)
         return encoders[path]
 
     def odd(self, text: str) -> bool:
-        """Whether a text has white space other than single spaces and line breaks inside."""
+        """Whether a text has an added token, or white space other than single spaces and line
+        breaks inside."""
         if text[0] in " \n" or text[-1] in " \n":
             return True
+        for token in self.added:
+            if token in text:
+                return True
         for gap in self.DOUBLE:
             if gap in text:
                 return True

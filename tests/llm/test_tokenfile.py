@@ -54,6 +54,21 @@ def test_encoder_equals_the_library_on_odd_texts(tokenizer):
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole(tokenizer, t) for t in texts[at:at + 500]]
 
 
+def test_added_tokens_get_their_ids_as_in_the_unchanged_library(spark):
+    library = Tokenizer.from_file(FILE)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y.", "two\nlines <|endoftext|>\nthree", "plain text", "<|endoftext", None]
+    path = scratch_dir(spark, "test-tokens")
+    tokenfile.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, FILE)
+    check(tokenfile.read_digests(spark, path).collect(), list(enumerate(texts)), library)
+    ids = {r["doc_id"]: r["ids"] for r in tokenfile.read(spark, path).collect()}
+    assert ids[0] == [64, 220, 50256, 275, 0]
+    rnd = random.Random(3)
+    parts = ["a", " Word", "é", "1", " ", "\n", ".", "!!", "<|endoftext|>", "<|endof", "text|>", "\t"]
+    odd = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 20))) for _ in range(2000)]
+    got = tokenfile.PieceEncoder(FILE, kept=300, added_tokens=True).encode(odd)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole(library, t) for t in odd]
+
+
 def check(rows, docs, tokenizer):
     at = 0
     got = sorted(rows, key=lambda r: r["start"])
