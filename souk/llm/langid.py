@@ -33,29 +33,40 @@ LANE = 512
 PAD, SPACE, OTHER = 0, 1, 2
 
 
+#: Cells of a language's dense transition table at most (beyond: sorted edges, the same moves).
+DENSE = 1 << 22
+
+
 class Automata:
-    """Stacked transition tables of the languages' suffix automata.
+    """Transitions of the languages' suffix automata.
 
-    ``step[language][state * width + class]`` is ``4 * width * next + phrases``:
-    the next state (premultiplied) and how many phrases ended.
+    Every learned letter has a class. ``local[language][class]`` is the class among the
+    language's own letters, ``OTHER`` for those it lacks. Dense tables:
+    ``step[language][state * width + local]`` is ``4 * width * next + phrases``: the next
+    state (premultiplied) and how many phrases ended. Sparse ones, where an alphabet is
+    large: (width, sorted keys ``state * width + local``, next states, moves of the start).
     """
 
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: dict[str, str], dense: int = DENSE):
         self.languages = sorted(texts)
         letters = sorted({c for t in texts.values() for c in t.lower() if c.isalpha()})
-        self.classes = np.full(0x110000, SPACE, np.uint8)
+        self.classes = np.full(0x110000, SPACE, np.int32)
         for code in range(0x110000):
             if chr(code).isalpha():
                 self.classes[code] = OTHER
-        for n, letter in enumerate(letters[:250]):
+        for n, letter in enumerate(letters):
             self.classes[ord(letter)] = 3 + n
-        self.width = 3 + min(250, len(letters))
-        self.length = {}
-        self.step = []
+        self.length, self.local, self.step = {}, [], []
         for language in self.languages:
             chars, _ = self.read([texts[language]])
             self.length[language] = max(2, len(chars))
-            self.step.append(self._table(_suffix_automaton(chars.tolist())))
+            own = np.unique(chars[chars > OTHER])
+            local = np.full(3 + len(letters), OTHER, np.int32)
+            local[[PAD, SPACE]] = PAD, SPACE
+            local[own] = 3 + np.arange(len(own))
+            self.local.append(local)
+            edges, width = _suffix_automaton(local[chars].tolist()), 3 + len(own)
+            self.step.append(self._table(edges, width) if len(edges) * width <= dense else self._sparse(edges, width))
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Classes of all kept characters, and the text each belongs to."""
@@ -67,8 +78,7 @@ class Automata:
         keep[1:] |= (chars[:-1] != SPACE) & (owner[1:] == owner[:-1])
         return chars[keep], owner[keep]
 
-    def _table(self, edges: list[dict[int, int]]) -> np.ndarray:
-        width = self.width
+    def _table(self, edges: list[dict[int, int]], width: int) -> np.ndarray:
         table = np.empty((len(edges), width), np.int64)
         for state, out in enumerate(edges):
             row = np.full(width, 2 if state else 1)  # a class unknown to the language: back to the start
@@ -80,6 +90,35 @@ class Automata:
             table[state] = row
         return table.astype(np.int32 if table.max() < 2**31 else np.int64).ravel()
 
+    def _sparse(self, edges: list[dict[int, int]], width: int) -> tuple:
+        found = sorted((state * width + c, after) for state, out in enumerate(edges) for c, after in out.items())
+        keys, after = np.array(found or [(-1, 0)], np.int64).T.copy()
+        start = np.zeros(width, np.int64)
+        start[list(edges[0])] = list(edges[0].values())
+        return width, keys, after, start
+
+    def _phrases(self, step: np.ndarray | tuple, grid: np.ndarray) -> np.ndarray:
+        """Phrases of each lane (columns of ``grid``, in the language's classes)."""
+        phrases = np.zeros(grid.shape[1], np.int32)
+        if isinstance(step, np.ndarray):
+            state = np.zeros(grid.shape[1], step.dtype)
+            for column in grid:
+                move = step[state + column]
+                phrases += move & 3
+                state = move >> 2
+        else:
+            width, keys, after, start = step
+            state = np.zeros(grid.shape[1], np.int64)
+            for column in grid:
+                key = state * width + column
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                ends = (keys[at] != key) & (column != PAD)
+                anew = start[column]
+                phrases += ends
+                phrases += ends & (anew == 0) & (state != 0)  # a class unknown to the language
+                state = np.where(ends, anew, np.where(column == PAD, state, after[at]))
+        return phrases + (state != 0)  # the one open at the end
+
     def entropies(self, texts: list[str]) -> np.ndarray:
         """Cross-entropy of each text (rows) by each language (columns); nan without letters."""
         chars, owner = self.read(texts)
@@ -88,19 +127,13 @@ class Automata:
         first_lane = np.cumsum(lanes) - lanes
         at = np.arange(len(chars)) - np.repeat(np.cumsum(size) - size, size)
         lane = first_lane[owner] + at // LANE
-        grid = np.zeros((LANE, int(lanes.sum())), np.uint8)
+        grid = np.zeros((LANE, int(lanes.sum())), np.int32)
         grid[at % LANE, lane] = chars
         lane_owner = np.repeat(np.arange(len(texts)), lanes)
         result = np.full((len(texts), len(self.languages)), np.nan)
         lettered = np.bincount(owner, weights=chars >= OTHER, minlength=len(texts)) > 0
         for n, (language, step) in enumerate(zip(self.languages, self.step)):
-            state = np.zeros(grid.shape[1], step.dtype)
-            phrases = np.zeros(grid.shape[1], np.int32)
-            for column in grid:
-                move = step[state + column]
-                phrases += move & 3
-                state = move >> 2
-            phrases += state != 0  # the one open at the end
+            phrases = self._phrases(step, self.local[n][grid])
             total = np.bincount(lane_owner, weights=phrases, minlength=len(texts))
             bits = math.log2(self.length[language])
             result[lettered, n] = total[lettered] * bits / size[lettered]

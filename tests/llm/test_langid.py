@@ -41,6 +41,30 @@ def test_long_texts_are_parsed_in_lanes():
     assert np.allclose(automata.entropies([text])[0], want)
 
 
+def test_scripts_with_many_letters():
+    rnd = random.Random(8)
+
+    def words(letters, n):
+        return " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 6))) for _ in range(n))
+    han, kana, hangul = [chr(0x4E00 + 7 * i) for i in range(600)], [chr(0x3042 + i) for i in range(60)], [chr(0xAC00 + 13 * i) for i in range(600)]
+    scripts = {"zh": han, "ja": han[:200] + kana, "ko": hangul, "en": list("abcdefghijklmnopqrstuvwxyz"), "ru": [chr(0x430 + i) for i in range(32)],
+               "x": [chr(0x250 + i) for i in range(60)], "y": [chr(0x561 + i) for i in range(38)], "z": [chr(0x10D0 + i) for i in range(33)]}
+    learn = {k: words(v, 500) for k, v in scripts.items()}
+    texts = {k: words(v, 40) for k, v in scripts.items()}
+    automata = langid.Automata(learn)
+    got = automata.entropies(list(texts.values()))
+    assert [automata.languages[int(np.argmin(row))] for row in got] == list(texts)
+    for text, row in zip(texts.values(), got):
+        for n, lang in enumerate(automata.languages):
+            assert abs(row[n] - brute_phrases(text, learn[lang]) * math.log2(len(learn[lang])) / len(text)) < 1e-9
+    # letters that no language has fit none
+    thai = automata.entropies([words([chr(0xE01 + i) for i in range(40)], 40)])[0]
+    assert thai.min() > got.min(axis=1).max()
+    # both kinds of transitions make the same moves
+    for dense in (0, 1 << 40):
+        assert np.allclose(langid.Automata(learn, dense).entropies(list(texts.values())), got)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = langid.identify_all(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
