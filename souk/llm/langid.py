@@ -1,7 +1,7 @@
 """Language identification by cross-parsing entropy.
 
-Learning text of each language (labelled rows, a bounded sample of whole
-documents) becomes a suffix automaton. A text is parsed against each automaton
+Learning text of each language (labelled rows, the beginnings of a bounded sample
+of documents, evenly) becomes a suffix automaton. A text is parsed against each automaton
 into the fewest consecutive phrases such that each is the longest match found
 in that language's learning text; a character the language lacks is a phrase of
 its own. Cross-entropy of a language: phrases * log2(learning length) / length;
@@ -171,10 +171,20 @@ def _suffix_automaton(chars: list[int]) -> list[dict[int, int]]:
     return edges
 
 
+def _even(texts: list[str], most: int) -> str:
+    """The beginnings of all texts, chained, in ``most`` characters; short texts are whole."""
+    left, taken = most + 1, {}
+    for n, at in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        taken[at] = min(len(texts[at]), max(0, left // (len(texts) - n) - 1))
+        left -= taken[at] + 1
+    return " ".join(texts[i][:taken[i]] for i in range(len(texts)))
+
+
 def learn(labelled: DataFrame, docs_per_language: int = 64, chars_per_language: int = 24_000) -> Automata:
     """Automata from ``labelled`` (doc_id, text, lang): at most about ``docs_per_language``
-    documents of each language come to the driver, whole and in hash order, and
-    the first ``chars_per_language`` characters of their chain are learned."""
+    documents of each language come to the driver, and ``chars_per_language`` characters
+    of them are learned: of each document an equal share from its beginning, what short
+    ones leave of theirs going to the others."""
     rows = labelled.filter("doc_id is not null and lang is not null").select("doc_id", "lang", "text")
     total = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     rows = labelled_sample(rows, "lang", docs_per_language, total).select(
@@ -184,7 +194,7 @@ def learn(labelled: DataFrame, docs_per_language: int = 64, chars_per_language:
         text = bytes(row["text"] or b"").decode("utf-8", "replace")
         if any(c.isalpha() for c in text):
             chains.setdefault(row["lang"], []).append(text)
-    return Automata({lang: " ".join(texts)[:chars_per_language] for lang, texts in chains.items()})
+    return Automata({lang: _even(texts, chars_per_language) for lang, texts in chains.items()})
 
 
 def identify(docs: DataFrame, automata: Automata) -> DataFrame:

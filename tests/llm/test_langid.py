@@ -71,6 +71,19 @@ def test_held_out_accuracy(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
 
 
+def test_a_long_document_leaves_room_for_the_others(spark):
+    rnd = random.Random(2)
+    rows = [(0, "de", "lang " * 20_000), *((i, "de", " ".join(f"{chr(96 + i) * 3}{c}" for c in "abcdefgh" * 20)) for i in range(1, 21))]
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    automata = langid.learn(docs)
+    assert 23_000 <= automata.length["de"] <= 24_000
+    got = automata.entropies([f"{chr(96 + i) * 3}a {chr(96 + i) * 3}b {chr(96 + i) * 3}c" for i in range(1, 21)])
+    # each of the documents' own texts is one phrase or two
+    assert (got[:, 0] * 14 / math.log2(automata.length["de"]) < 2.5).all()
+    assert langid._even(["ab", "cdefgh", "i"], 9) == "ab cdef i" and langid._even(["ab", "c"], 100) == "ab c"
+
+
 def test_odd_rows(spark, odd, empty):
     got = langid.identify_all(odd).collect()
     assert len(got) == odd.count()
