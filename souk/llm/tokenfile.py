@@ -23,9 +23,10 @@ binaryFile source, one file at a time in a task; a document's global start is
 its start in the file plus a two-level running sum of the files' sizes.
 
 Encoding uses the tokenizers library. A text is cut at its single spaces and
-line breaks and before the marks that end a word, where a token always ends, and
-the ids of words met before are kept in a bounded table of the Python worker. A text that
-holds one of the file's added tokens goes to the library whole.
+line breaks and before the marks that end a word, where a token always ends; each
+distinct word of a slice is looked up once, and the ids of words met before are kept in
+a bounded table of the Python worker. A text that holds one of the file's added tokens
+or other white space goes to the library whole.
 
 Defined results: null text counts as empty: only the end id; repeated rows are
 written each; other columns are ignored; an empty table gives no file.
@@ -38,12 +39,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from souk.llm.common import int64, scratch_table, slices, texts_of, width
+from souk.llm.words import WordTable, byte_alphabet, letters_and_marks, with_end
 
 MAGIC = b"SOUKPL1\n"
 CHUNK_IDS = 1 << 16
@@ -131,10 +134,11 @@ def documents(data: bytes):
 
 # ------------------------------------------------------------------- encoding
 class PieceEncoder:
-    """uint32 ids (as bytes) of whole texts; words met before are looked up.
+    """uint32 ids of whole texts by their words (``words.WordTable``).
 
-    A text is cut before its single spaces and line breaks, and before the marks that
-    end a word: the tokenizer's pattern always ends a match there. ``kept`` words
+    A text is cut before its single spaces and line breaks: the tokenizer's pattern always
+    ends a match there. A word of letters is one match, and so are the marks that end it; the
+    library's model merges them. Other words go to the library in whole batches. ``kept`` words
     stay in the table, those of up to ``kept_chars`` characters. With ``added_tokens`` the
     file's added tokens in a text get their own ids, as the library loads it; without, they
     are encoded like other text."""
@@ -142,7 +146,6 @@ class PieceEncoder:
     DOUBLE = ("  ", "\n\n", " \n", "\n ")
     OTHER_GAP = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
     ASCII_GAPS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-    MARKS = ".,;:!?|#*$%&"
 
     def __init__(self, path: str, kept: int = 700_000, kept_chars: int = 40, added_tokens: bool = False):
         import os
@@ -157,9 +160,10 @@ class PieceEncoder:
         added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if added_tokens or not t.special]
         self.added = sorted(t.content for t in added)
         (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.table: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
-        self.kept, self.kept_chars = kept, kept_chars
+        self.merge = self.tokenizer.model.tokenize
+        self.alphabet = byte_alphabet()
+        self.ends: dict[str, list[int]] = {"": []}
+        self.table = WordTable(self.words, kept, kept_chars)
 
     @classmethod
     def of_worker(cls, path: str) -> PieceEncoder:
@@ -189,71 +193,81 @@ class PieceEncoder:
             return False
         return self.OTHER_GAP.search(text) is not None
 
-    def plain(self, texts: list[str]) -> list[bytes]:
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [np.array(e.ids, dtype=np.uint32) for e in found]
 
-    def pieces(self, texts: list[str], at_once: int = 256) -> list[bytes]:
+    def pieces(self, texts: list[str], at_once: int = 256) -> list[list[int]]:
         """Ids of pieces without line breaks, many in one text: a line break between two
         pieces is always a token of its own, so that it tells their ids apart."""
         joined = ["\n".join(texts[i:i + at_once]) for i in range(0, len(texts), at_once)]
         out = []
-        for data in self.plain(joined) if texts else []:
-            ids = np.frombuffer(data, "<u4")
-            breaks = np.flatnonzero(ids == self.line_break)
-            start = [0, *(4 * breaks + 4).tolist()]
-            end = [*(4 * breaks).tolist(), len(data)]
-            out += [data[a:b] for a, b in zip(start, end)]
+        for ids in self.plain(joined) if texts else []:
+            for part in np.split(ids, np.flatnonzero(ids == self.line_break)):
+                out.append(part[1:].tolist() if len(part) and part[0] == self.line_break else part.tolist())
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The table's keys leave out a word's space; a word that begins a line has the line break."""
-        table, ends, marks = self.table, self.ends, self.MARKS
-        get, room = table.get, len(table) < self.kept
-        line_break = np.array([self.line_break], "<u4").tobytes()
-        rows: list[list[bytes] | None] = []
-        new: dict[str, str] = {}
-        open_: list[tuple[list, int, str, str]] = []  # words that the table lacks: row, place, word, marks after it
-        for text in texts:
-            if not text or self.odd(text):
-                rows.append(None)
+    def match(self, text: str) -> list[int]:
+        """Ids of a text that is one match of the pattern."""
+        return [t.id for t in self.merge(text if text.isascii() and text[0] != " " else text.encode().decode("latin-1").translate(self.alphabet))]
+
+    def words(self, keys: list[str]) -> list[list[int]]:
+        """Ids of words without their space; a word that begins a line has the line break."""
+        out: list[list[int] | None] = []
+        other, at = [], []
+        near: dict[str, list[int]] = {}
+        for n, key in enumerate(keys):
+            line = key[:1] == "\n"
+            word = key[1:] if line else key
+            split = letters_and_marks(word)
+            if split is None:
+                other.append(word if line else " " + word)
+                at.append((n, line))
+                out.append(None)
                 continue
-            keys = ("\n" + text.replace("\n", " \n")).split(" ")
-            values = list(map(get, keys))
-            rows.append(values)
-            for at in [n for n, value in enumerate(values) if value is None] if None in values else ():
-                key = keys[at]
-                word = key.rstrip(marks)
-                tail = ""
-                if word is not key and word and word[-1].isalnum():
-                    tail = key[len(word):]
-                    value, end = get(word), ends.get(tail)
-                    if value is not None and end is not None:
-                        values[at] = value = value + end
-                        if room:
-                            table[key] = value
-                        continue
-                else:
-                    word = key
-                open_.append((values, at, word, tail))
-                if word not in table:
-                    new[word] = word[1:] if word[0] == "\n" else " " + word
-        fresh = dict(zip(new, self.pieces(list(new.values()))))
-        for word, data in fresh.items():
-            if word[0] == "\n":
-                fresh[word] = line_break + data
-        tails = sorted({tail for *_, tail in open_ if tail and tail not in ends})
-        ends.update(zip(tails, self.pieces(tails)))
-        for values, at, word, tail in open_:
-            value = fresh.get(word) or table[word]
-            values[at] = value + ends[tail] if tail else value
-        if room:
-            table.update((w, v) for w, v in fresh.items() if len(w) <= self.kept_chars)
-        if len(ends) > 10_000:
-            ends.clear()
-        whole = iter(self.plain([t for t, values in zip(texts, rows) if t and values is None]))
-        # the first word follows no line break
-        return [(b"".join(values)[4:] if values is not None else next(whole) if text else b"") for text, values in zip(texts, rows)]
+            core, tail = split
+            whole = key[:len(key) - len(tail)]
+            ids = near.get(whole) or self.table.known(whole)
+            if ids is None:
+                ids = near[whole] = [self.line_break, *self.match(core)] if line else self.match(" " + core)
+            if tail not in self.ends:
+                if len(self.ends) > 10_000:
+                    self.ends = {"": []}
+                self.ends[tail] = self.match(tail)
+            out.append(ids + self.ends[tail])
+        for (n, line), ids in zip(at, self.pieces(other)):
+            out[n] = [self.line_break, *ids] if line else ids
+        return out
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all ids in turn."""
+        odd = [n for n, text in enumerate(texts) if not text or self.odd(text)]
+        # the first word follows no line break: it gets one, whose id goes
+        start, none = (pa.scalar(x, pa.large_string()) for x in ("\n", ""))
+        lined = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n")
+        lined = pc.binary_join_element_wise(start, lined, none)
+        if odd:
+            keep = np.ones(len(texts), bool)
+            keep[odd] = False
+            lined = lined.filter(pa.array(keep))
+        counts, ids = self.table.ids(pc.split_pattern(lined, " "))
+        first = np.ones(len(ids), bool)
+        first[(np.cumsum(counts) - counts)] = False
+        counts, ids = counts - 1, ids[first]
+        if not odd:
+            return counts, ids
+        by_text: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+        for n, part in zip(np.flatnonzero(keep).tolist(), np.split(ids, np.cumsum(counts)[:-1])):
+            by_text[n] = part
+        whole = [n for n in odd if texts[n]]
+        for n, part in zip(whole, self.plain([texts[n] for n in whole])):
+            by_text[n] = part
+        return np.array([len(x) for x in by_text], np.int64), np.concatenate([*by_text, np.empty(0, np.uint32)])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian bytes."""
+        counts, ids = self.flat(texts)
+        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
 
 # ------------------------------------------------------------ writing, reading
@@ -263,21 +277,26 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, plan
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = rows.repartitionByRange(width(docs.sparkSession), *order).sortWithinPartitions(*order)
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches):
         encoder = PieceEncoder.of_worker(tokenizer_path)
         part, number = TaskContext.get().partitionId(), 0
         doc_ids, counts, held, size = [], [], [], 0
 
         def file():
-            return pa.RecordBatch.from_pydict({"data": pa.array([pack(part, number, doc_ids, counts, np.frombuffer(b"".join(held), "<u4"), planes, chunk_ids)], pa.binary())})
-        for batch in slices(batches, 1_000_000):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch.column(1)))):
-                doc_ids.append(doc_id)
-                counts.append(len(ids) // 4 + 1)
-                held += [ids, end]
-                size += counts[-1]
+            return pa.RecordBatch.from_pydict({"data": pa.array([pack(part, number, doc_ids, counts, np.concatenate(held), planes, chunk_ids)], pa.binary())})
+        for batch in slices(batches, 6_000_000):
+            sizes, ids = with_end(*encoder.flat(texts_of(batch.column(1))), end_id)
+            at = 0
+            # a file ends with the document that fills it
+            ends, batch_ids = np.cumsum(sizes), batch.column(0).to_pylist()
+            while at < len(sizes):
+                begin = ends[at] - sizes[at]
+                to = min(len(sizes), int(np.searchsorted(ends, begin + file_ids - size)) + 1)
+                doc_ids += batch_ids[at:to]
+                counts += sizes[at:to].tolist()
+                held.append(ids[begin:ends[to - 1]])
+                size += len(held[-1])
+                at = to
                 if size >= file_ids:
                     yield file()
                     doc_ids, counts, held, size = [], [], [], 0
