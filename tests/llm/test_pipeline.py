@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def test_registered():
     names = entry.queries()
     assert names["pipeline"] is pipeline.run
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert [s for s, _ in pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "decontamination", "secret_scan", "byte_bpe"]
 
 
