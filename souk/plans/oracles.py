@@ -572,12 +572,14 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
                                ("sheet_credit2", "credit_numbers", "global_credit_numbers")):
         out[sheet] = f"SELECT * FROM ({out[local]}) l UNION ALL BY NAME SELECT * FROM ({out[glob]}) g"
     out["compare_bundles"] = f"SELECT 'data' AS sheet, item, value FROM ({out['compare_summary']}) c"
-    out["row_index"] = with_survey(f"SELECT {q('uuid')}, row_number() OVER (ORDER BY {q('uuid')}) AS position FROM survey")
-    from .registry import CSV_COLUMNS
-    texts = ("uuid", "call_location", "enumerator", "barrier_finance")
-    out["read_csv"] = with_survey("SELECT " + ", ".join(
-        f"CASE WHEN {q(c)} IN ('', ' ', 'NA') THEN NULL ELSE {q(c)} END AS {q(c)}" if c in texts else q(c) for c in CSV_COLUMNS) + " FROM survey")
-    out["drop_all_null_columns"] = with_survey("SELECT " + ", ".join(q(c) for c in CSV_COLUMNS) + " FROM survey")
+    every = ", ".join(q(c) for c in demo.survey_columns())
+    out["row_index"] = with_survey(f"SELECT {every}, row_number() OVER (ORDER BY {q('uuid')}) AS position FROM survey")
+    # a text column is a number once read where all its cells are written as one
+    read = [f"CAST({q(c)} AS BIGINT) AS {q(c)}" if c == "jmmi_date" else
+            f"CASE WHEN {q(c)} IN ('', ' ', 'NA') THEN NULL ELSE {q(c)} END AS {q(c)}" if _survey_type(c) == "string" else q(c) for c in demo.survey_columns()]
+    remark = f"'seen' || chr(10) || 'by ' || {q('enumerator')} || ', \"' || {q('uuid')} || '\"' AS remark"
+    out["read_csv"] = with_survey(f"SELECT {', '.join(read)}, {remark} FROM survey")
+    out["drop_all_null_columns"] = with_survey(f"SELECT {every} FROM survey")
     counts = {"deleted_still_in_data": "undeleted", "uuid_not_in_dataset": "log_unknown_uuids",
               "questions_not_in_dataset": "log_unknown_questions", "cleaning_log_not_applied": "check_log",
               "cleaning_check": "attach_issue_owner", "enumerator_similarity": "enumerator_similarity"}

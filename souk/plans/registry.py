@@ -329,20 +329,19 @@ def q_enumerator_similarity(spark, d):
 
 # ---- reading and writing -----------------------------------------------------------
 
-CSV_COLUMNS = ["uuid", "index", "call_location", "enumerator", "price_usd_rare_1kg", "barrier_finance", "supplier_number"]
-
-
 @register("read_csv")
 def q_read_csv(spark, d):
-    """A survey written as CSV files and read back by the survey CSV rules."""
+    """A survey written as CSV files and read back by the survey CSV rules, all columns; one more
+    column has a line break, a comma and doubled quotes in every cell."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/souk-csv-{uuid.uuid4().hex}"
-    _survey(spark, d).select(*CSV_COLUMNS).write.option("header", True).csv(path)
+    remark = F.concat(F.lit("seen\nby "), F.col("enumerator"), F.lit(', "'), F.col("uuid"), F.lit('"'))
+    _survey(spark, d).withColumn("remark", remark).write.option("header", True).option("escape", '"').csv(path)
     return io.read_survey_csv(spark, path)
 
 
 @register("row_index")
 def q_row_index(spark, d):
-    return io.with_row_index(_survey(spark, d).select("uuid"), ["uuid"], "position")
+    return io.with_row_index(_survey(spark, d), ["uuid"], "position")
 
 
 @register("analysis_bundle")
@@ -367,8 +366,7 @@ def q_validation_outputs(spark, d):
 
 @register("drop_all_null_columns")
 def q_drop_all_null_columns(spark, d):
-    survey = _survey(spark, d).select(*CSV_COLUMNS)
-    return N.drop_all_null_columns(survey.withColumn("unanswered", F.lit(None).cast("string")))
+    return N.drop_all_null_columns(_survey(spark, d).withColumn("unanswered", F.lit(None).cast("string")))
 
 
 @register("compare_bundles")
