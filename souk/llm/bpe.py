@@ -6,8 +6,11 @@ the pattern and merges inside each match. A long text is first cut at safe
 boundaries: before ASCII white space that follows a character that is no white
 space. No match of the pattern holds such a pair, and no part of the
 pattern looks back, so the pieces' ids joined are the ids of the whole text;
-each call gets a bounded piece however long the text is. Decoding joins the
-tokens' raw bytes, so a token that ends inside a character does no harm.
+each call gets a bounded piece however long the text is. A run of over ``GAP_CHARS`` white
+space characters has no such place and is too long for the pattern's search: by the
+pattern it is one match, without its last character where another follows, and goes to
+the merges directly. Decoding joins the tokens' raw bytes, so a token that ends inside a
+character does no harm.
 
 Defined results: null and empty texts have no ids; a text without any safe
 boundary is one piece; repeated rows and equal ids give a row each; other
@@ -30,6 +33,9 @@ from souk.llm.common import id_text, lists, map_text, texts_of
 
 SAFE = re.compile(r"(?<=\S)(?=[\x20\x09-\x0D])")
 PIECE_CHARS = 16_384
+GAP_CHARS = 10_000
+#: The characters of the pattern's white space class.
+LONG_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % GAP_CHARS)
 
 
 def load_encoding(ranks_path: str, pattern: str):
@@ -55,7 +61,14 @@ def safe_pieces(text: str, piece_chars: int = PIECE_CHARS) -> list[str]:
 
 def encode_whole(encoding, text: str, piece_chars: int = PIECE_CHARS) -> list[int]:
     ids: list[int] = []
-    for piece in safe_pieces(text, piece_chars):
+    at = 0
+    for gap in LONG_GAP.finditer(text) if len(text) >= GAP_CHARS else ():
+        for piece in safe_pieces(text[at:gap.start()], piece_chars):
+            ids += encoding.encode_ordinary(piece)
+        # the pattern leaves the last character to what follows
+        at = gap.end() if gap.end() == len(text) else gap.end() - 1
+        ids += encoding._encode_single_piece(text[gap.start():at])
+    for piece in safe_pieces(text[at:], piece_chars):
         ids += encoding.encode_ordinary(piece)
     return ids
 

@@ -51,3 +51,17 @@ def test_encode_then_decode(spark, odd, empty):
     rows = bpe.round_trip(odd, FILE, PATTERN).collect()
     assert len(rows) == odd.count() and {r["n_tokens"] for r in rows if r["doc_id"] in (2, 3)} == {0}
     assert bpe.round_trip(empty, FILE, PATTERN).collect() == []
+
+
+def test_very_long_white_space(spark):
+    encoding = bpe.load_encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    gaps = [" " * 12_000, "\n" * 15_000, " \n\t\xa0\u3000" * 3_000, " " * 11_000 + "\n"]
+    for gap in gaps:
+        for text in (gap, "a" + gap, gap + "b", "a." + gap + "'s 1", "x" + gap + "\u00e9" + gap + "!", gap + "\x1c" + gap):
+            assert bpe.encode_whole(encoding, text) == encoding.encode_ordinary(text)
+    # the library alone cannot take this one
+    text = "start" + " " * 1_500_000 + "end" + "\n" * 1_200_000
+    ids = bpe.encode_whole(encoding, text)
+    assert encoding.decode(ids) == text
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert bpe.round_trip(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()[0]["n_tokens"] == len(ids)
