@@ -170,7 +170,8 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int, held_out: int, per_cla
         return {"constant": float(next(iter(total), 0.5))}
     # at most about per_class rows of each label value: a bounded broadcast
     chosen = labelled_sample(known, "quality", per_class, total).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("quality", F.col("text").cast("binary").alias("text"))
+    # the document's own columns may have the label's name
+    rows = id_text(docs).join(F.broadcast(chosen), "doc_id").select("quality", "text")
 
     def step():
         def of(batch):

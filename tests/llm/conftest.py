@@ -6,7 +6,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, fp string, spans int, value int, word int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, fp string, spans int, value int, word int, " \
+         "quality string, toxic string, held_out int, component_id string, kept string, host string, item_id string"
 
 
 def words(n, seed=0, letters="abcdefgh"):
@@ -30,7 +31,7 @@ def odd_rows():
         (8, "###!!", "fr", "b"),
         (9, "One small text, with password = \"abcdef0123456789abcd\".", "en", "a"),
     ]
-    return [(d, t, lang, s, None, "clash", "clash", 1, 2, 3) for d, t, lang, s in texts]
+    return [(d, t, lang, s, None, "clash", "clash", 1, 2, 3, "clash", "clash", 4, "clash", "clash", "clash", "clash") for d, t, lang, s in texts]
 
 
 @pytest.fixture
