@@ -21,8 +21,8 @@ each pair of parts is a task of its own.
 Classes: repeated contraction of the links by the smallest neighbour, each
 round written to the shared folder, until no link is left.
 
-Defined results: null text counts as empty; rows with equal doc_id and text are
-one document in ``representatives``; a null doc_id has the class of its
+Defined results: null text counts as empty; ``representatives`` keeps one row of a class,
+whether its rows share a doc_id, a text, both or neither; a null doc_id has the class of its
 fingerprint; other columns are ignored; empty tables give empty tables.
 """
 
@@ -64,14 +64,14 @@ def fingerprint(data: bytes, shingle: int, seed: int, block: int = 1 << 16) -> i
     return int(np.packbits(2 * ones > len(start), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) of every row, and its columns ``more`` (longs)."""
     def step():
         def of(batch):
             fp = np.array([fingerprint(x or b"", shingle, seed) for x in batch.column(1).to_pylist()], dtype=np.uint64)
-            return {"doc_id": batch.column(0), "fp": pa.array(fp.view(np.int64))}
+            return {"doc_id": batch.column(0), "fp": pa.array(fp.view(np.int64)), **{c: batch.column(2 + i) for i, c in enumerate(more)}}
         return of
-    return map_text(id_text(docs), "doc_id long, fp long", step)
+    return map_text(id_text(docs, *more), ", ".join(["doc_id long, fp long", *(f"{c} long" for c in more)]), step)
 
 
 # -------------------------------------------------------------------- the trie
@@ -315,22 +315,42 @@ def classes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def rooted(fps: DataFrame, bits: int, cap: int) -> DataFrame:
+    """fp, first (smallest doc_id), root (the class) of the distinct fingerprints of ``fps``."""
+    found = classes(links(fps, bits, cap))
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    return scratch_table(first.join(found, first["fp"] == found["node"], "left")
+                         .select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+
+
 def components(docs: DataFrame, shingle: int = 4, bits: int = 4, cap: int = 1024) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable) of every row."""
     fps = scratch_table(fingerprints(docs, shingle), "simhash-fp")
-    found = classes(links(fps, bits, cap))
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    rooted = scratch_table(first.join(found, first["fp"] == found["node"], "left")
-                           .select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
-    lowest = scratch_table(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-lowest")
-    named = scratch_table(rooted.join(lowest, "root").select("fp", "component_id"), "simhash-named")
+    roots = rooted(fps, bits, cap)
+    lowest = scratch_table(roots.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-lowest")
+    named = scratch_table(roots.join(lowest, "root").select("fp", "component_id"), "simhash-named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: 128 bits of a row's doc_id and text.
+ROW_KEY = ("souk_key1", "souk_key2")
+
+
 def representatives(docs: DataFrame, shingle: int = 4, bits: int = 4, cap: int = 1024) -> DataFrame:
-    """``docs`` with one document of each class: the row whose doc_id names the class."""
-    found = components(docs, shingle, bits, cap)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    keep = keep.withColumnRenamed("doc_id", "souk_keep_id")
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["souk_keep_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """``docs`` with one row of each class: that with the smallest doc_id (null last), then the
+    smallest hash of the text, then the smallest other columns.
+
+    Classes are found without texts; the texts are shuffled once, to meet the chosen rows' keys.
+    """
+    id_ = F.col("doc_id").cast("long")
+    keys = [F.xxhash64(F.coalesce(id_, F.lit(0)), id_.isNull(), "text", F.lit(n)) for n in (1, 2)]
+    keyed = docs.withColumns(dict(zip(ROW_KEY, keys)))
+    fps = scratch_table(fingerprints(keyed, shingle, more=ROW_KEY), "simhash-fp")
+    roots = rooted(fps, bits, cap).select("fp", "root")
+    best = fps.join(roots, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW_KEY)).alias("best"))
+    keep = best.select(*(F.col(f"best.{k}").alias(k) for k in ROW_KEY))
+    kept = keyed.join(keep, list(ROW_KEY), "left_semi")
+    # rows with equal doc_id and text: they are together already, one stays
+    rows = [F.struct(F.col(f"`{c}`").isNull().alias("none"), F.col(f"`{c}`").alias("value")).alias(f"c{n}") for n, c in enumerate(docs.columns)]
+    one = kept.groupBy(*ROW_KEY).agg(F.min(F.struct(*rows)).alias("row"))
+    return one.select(*(F.col(f"row.c{n}.value").alias(c) for n, c in enumerate(docs.columns)))

@@ -98,3 +98,26 @@ def test_classes_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.classes(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
+
+
+def test_representatives_where_doc_ids_repeat(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    rows = [(3, a, "en"), (5, a, "en"), (5, b, "en"), (7, b, "en"), (9, "fifteen " + a[4:] + " more words", "fr"), (9, "fifteen " + a[4:] + " more words", "en"), (None, b, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for part in (df, df.repartition(5), df.orderBy("lang")):
+        assert sorted(map(tuple, simhash.representatives(part).collect())) == [(3, a, "en"), (5, b, "en"), (9, "fifteen " + a[4:] + " more words", "en")]
+    alone = spark.createDataFrame([(None, b, None), (None, b, "en")], "doc_id long, text string, lang string")
+    assert [tuple(r) for r in simhash.representatives(alone).collect()] == [(None, b, "en")]
+
+
+def test_representatives_shuffle_texts_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+        plan = simhash.representatives(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    above_join = plan[:plan.index("SortMergeJoin")]
+    assert "Exchange" not in above_join
