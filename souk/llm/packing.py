@@ -8,7 +8,7 @@ key, so that neighbours along the curve are alike, and laid end to end:
 
 * every task of the sort knows where each of its documents starts in its range;
 * a running sum over the ranges' sizes (one row a range) gives the global start;
-* each document is then cut by itself wherever a sequence ends.
+* each document, joined with its start, is then cut by itself wherever a sequence ends.
 
 No task sees more than its range, and no document waits for another. All sequences
 are full but the last ``length`` ids at most, which are dealt into sequences whose
@@ -108,13 +108,14 @@ class BlankEncoder:
     """uint32 ids of whole texts for a tokenizer whose tokens never cross blanks."""
 
     GAPS = bytes.maketrans(b"\t\n\r", b"   ")
+    LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in GAPS)
 
     def __init__(self, path: str, kept: int = 700_000, kept_chars: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = sorted(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.merge = self.tokenizer.model.tokenize
         self.alphabet = byte_alphabet()
@@ -164,8 +165,10 @@ class BlankEncoder:
 
     def flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text (UTF-8), and all ids in turn."""
-        odd = [n for n, text in enumerate(texts) if any(a.encode() in text for a in self.added)]
-        plain = [text.translate(self.GAPS) for text in texts]
+        odd = [n for n, text in enumerate(texts) if any(a in text for a in self.added)]
+        # ASCII letters may get their lower case before the library gives it, but where a combining mark
+        # (U+0300 to U+037F) could join the lower letter only, or an added token could come about
+        plain = [text.translate(self.GAPS if b"<|" in text or b"\xcc" in text or b"\xcd" in text else self.LOWER) for text in texts]
         for n in odd:
             plain[n] = b""
         column = pa.array(plain, pa.large_binary()).cast(pa.large_string())
@@ -178,6 +181,15 @@ class BlankEncoder:
         return np.array([len(x) for x in by_text], np.int64), np.concatenate(by_text)
 
 
+def utf8(column: pa.Array) -> list[bytes]:
+    """The texts of a binary column: null becomes empty, a byte that is not UTF-8 the replacement sign."""
+    try:
+        column.cast(pa.string())
+    except pa.ArrowInvalid:
+        return [t.encode() for t in texts_of(column)]
+    return [t or b"" for t in column.to_pylist()]
+
+
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, dims: int = 3, bits: int = 20) -> DataFrame:
     """doc_id, row (place of reading), key (on the curve), n, ids (bytes) of every row."""
     def run(batches):
@@ -186,7 +198,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, dims: int = 3, bi
         kind = "<u2" if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else "<u4"
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, SLICE_BYTES):
-            texts = [t.encode() for t in texts_of(batch.column(1))]
+            texts = utf8(batch.column(1))
             counts, ids = encoder.flat(texts)
             keys = curve.keys(counts, ids)
             counts, ids = with_end(counts, ids, end_id)
@@ -201,20 +213,18 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, dims: int = 3, bi
 
 # -------------------------------------------------------------------- packing
 def ordered(rows: DataFrame) -> DataFrame:
-    """The rows of ``encoded`` with part (of the sort) and local (start inside it)."""
+    """For each row of ``encoded`` (without its ids): row, part (of the sort), local (start inside it), n."""
     order = ["key", "doc_id", "row"]
-    rows = rows.select("key", "doc_id", "row", "n", "ids").repartitionByRange(width(rows.sparkSession), *order).sortWithinPartitions(*order)
+    rows = rows.select(*order, "n").repartitionByRange(width(rows.sparkSession), *order).sortWithinPartitions(*order)
 
     def run(batches):
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             n = batch.column(3).to_numpy()
             ends = before + np.cumsum(n)
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array(np.full(len(n), part, np.int32)), "local": int64(ends - n), "doc_id": batch.column(1),
-                "key": batch.column(0), "n": batch.column(3), "ids": batch.column(4)})
+            yield pa.RecordBatch.from_pydict({"row": batch.column(2), "part": pa.array(np.full(len(n), part, np.int32)), "local": int64(ends - n), "n": batch.column(3)})
             before = int(ends[-1]) if len(n) else before
-    return rows.mapInArrow(run, "part int, local long, doc_id long, key long, n long, ids binary")
+    return rows.mapInArrow(run, "row long, part int, local long, n long")
 
 
 def tail_sizes(left: int) -> list[int]:
@@ -226,6 +236,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 4096,
     """Pieces: doc_id, start (in its document), length, ids (little-endian unsigned 32-bit, as
     bytes), doc_tokens, sequence_id, offset (in the sequence), key."""
     stored = scratch_table(encoded(docs, tokenizer_path, end_id, dims, bits), "packing-ids")
+    # the ids stay where they are while their rows are ordered, and are shuffled once
     rows = scratch_table(ordered(stored), "packing-order")
     # one row for each range of the sort
     parts = rows.groupBy("part").agg(F.sum("n").alias("size"))
@@ -261,6 +272,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 4096,
         return pa.RecordBatch.from_pydict({
             "doc_id": doc_id.take(take), "start": int64(start), "length": int64(size), "ids": pa.array(data, pa.binary()),
             "doc_tokens": batch.column(2).take(take), "sequence_id": int64(sequence), "offset": int64(offset), "key": batch.column(4).take(take)})
-    placed = rows.join(F.broadcast(parts), F.col("part") == F.col("of"))
-    placed = placed.select("doc_id", (F.col("before") + F.col("local")).alias("begin"), "n", "ids", "key")
+    begins = rows.join(F.broadcast(parts), F.col("part") == F.col("of")).select("row", (F.col("before") + F.col("local")).alias("begin"))
+    placed = stored.join(begins, "row").select("doc_id", "begin", "n", "ids", "key")
     return placed.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, key long")

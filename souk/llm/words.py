@@ -3,8 +3,8 @@
 A tokenizer whose tokens never cross a word gives a text the ids of its words in
 turn. A slice's words are coded by Arrow; only words that the Python worker has
 not met before are encoded, and the slice's ids are gathered from the table in
-numpy. The table has at most ``kept`` words of ``kept_chars`` characters (then it
-starts anew); longer words live for their slice.
+numpy. The table keeps the first ``kept`` words of up to ``kept_chars`` characters, which
+the frequent ones are among; longer and later words live for their slice.
 """
 
 from __future__ import annotations
@@ -40,9 +40,6 @@ class WordTable:
 
     def __init__(self, encode: Callable[[list[str]], list], kept: int = 700_000, kept_chars: int = 40):
         self.encode, self.kept, self.kept_chars = encode, kept, kept_chars
-        self.clear()
-
-    def clear(self) -> None:
         self.row: dict[str, int] = {}
         self.flat, self.start, self.size = array("I"), array("q"), array("q")
 
@@ -71,12 +68,10 @@ class WordTable:
         row = row[coded.indices.to_numpy()]
         counts, ids = self._gather(row, words.offsets.to_numpy())
         stay = next((n for n, w in enumerate(new) if len(w) > self.kept_chars), len(new))
-        if before + stay > self.kept:
-            self.clear()
-        else:
-            self.row.update((w, fresh[w]) for w in new[:stay])
-            if stay < len(new):
-                del self.flat[self.start[before + stay]:], self.start[before + stay:], self.size[before + stay:]
+        stay = max(0, min(stay, self.kept - before))
+        self.row.update((w, fresh[w]) for w in new[:stay])
+        if stay < len(new):
+            del self.flat[self.start[before + stay]:], self.start[before + stay:], self.size[before + stay:]
         return counts, ids
 
     def _gather(self, row: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
