@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.sem import col, is_numeric, null_safe_join
-from ..sources.io import with_row_index
+from ..sources.io import with_row_index, with_stored_index
 
 DEFAULT_TOL = 1.5e-8
 
@@ -45,9 +45,8 @@ def schema_report(x: DataFrame, y: DataFrame, by: Sequence[str]) -> dict[str, li
 
 def _aligned(x: DataFrame, y: DataFrame, by: Sequence[str] | None, order: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
     if not by:
-        # positional alignment: row numbers in the declared order of each table
-        x = with_row_index(x, list(order or ()), "__row")
-        y = with_row_index(y, list(order or ()), "__row")
+        # positional alignment: row numbers in the declared order of each table, else in the order they are stored in
+        x, y = (with_row_index(t, list(order), "__row") if order else with_stored_index(t, "__row") for t in (x, y))
         by = ["__row"]
     by = list(by)
     rep = schema_report(x, y, by)
@@ -105,7 +104,8 @@ def compare_tables(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None,
                    tol: float = DEFAULT_TOL, order: Sequence[str] | None = None) -> DataFrame:
     """Differing cells of rows present in both tables: ``by..., variable, value_x, value_y``.
 
-    Without ``by`` rows are aligned by their position in the ``order`` columns."""
+    Without ``by`` rows are aligned by their position: in the ``order`` columns, or without
+    those in the order in which the tables (read from Parquet) are stored."""
     j, by = _aligned(x, y, by, order)
     rep = schema_report(x, y, by)
     tx = {f.name: f.dataType for f in x.schema.fields}

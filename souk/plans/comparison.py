@@ -22,14 +22,16 @@ SHEET_KEYS = {
 }
 
 
-def compare_runs(spark: SparkSession, path_a: str, path_b: str, tol: float = 1.5e-8) -> DataFrame:
+def compare_runs(spark: SparkSession, path_a: str, path_b: str, tol: float = 1.5e-8, keyed: bool = True) -> DataFrame:
     """Summary rows ``sheet, item, value`` for every sheet of ``a`` that ``b`` also has.
 
+    Rows are matched by the sheets' keys, or (``keyed=False``) by their place in the sheet.
+
     Sheets only in one bundle are reported with item ``sheet_missing``.
     """
     a, b = read_bundle(spark, path_a), read_bundle(spark, path_b)
     parts = [df.select(F.lit(name).alias("sheet"), "item", "value")
-             for name, df in compare_bundles(a, b, SHEET_KEYS, tol).items()]
+             for name, df in compare_bundles(a, b, SHEET_KEYS if keyed else None, tol).items()]
     missing = [(s, "sheet_missing_in_b", 1) for s in a if s not in b] + \
               [(s, "sheet_missing_in_a", 1) for s in b if s not in a]
     if missing:
