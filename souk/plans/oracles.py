@@ -410,16 +410,18 @@ def _converted(c: str) -> str:
 
 # ---- comparison ----------------------------------------------------------------------------
 
-def _compare_sql() -> dict[str, str]:
-    """Rows are aligned by grouping the union of both sides on the key (no join)."""
-    uid = q("uuid")
-    cols = [c for c in demo.survey_columns() if c not in ("uuid", "avail_shop_rice", "supplier_number")]
+def _compare_sql(positional: bool = False) -> dict[str, str]:
+    """Rows are aligned by grouping the union of both sides on the key (no join): the uuid, or the
+    row's place by uuid (which is then compared like other columns)."""
+    uid = "place" if positional else q("uuid")
+    key = f"row_number() OVER (ORDER BY {q('uuid')}) AS place" if positional else uid
+    cols = [c for c in demo.survey_columns() if c not in ("uuid",) * (not positional) + ("avail_shop_rice", "supplier_number")]
     xs = ", ".join(f"{q(c)} AS {q('x:' + c)}, NULL AS {q('y:' + c)}" for c in cols)
     ys = ", ".join(f"NULL AS {q('x:' + c)}, {q(c)} AS {q('y:' + c)}" for c in cols)
     picks = ", ".join(f"max({q('x:' + c)}) AS {q('x:' + c)}, max({q('y:' + c)}) AS {q('y:' + c)}" for c in cols)
     ctes = (f"y AS ({demo.survey_edited_sql('duckdb', source='survey0')}), "
-            f"u AS (SELECT {uid}, 1 AS in_x, 0 AS in_y, {xs} FROM survey0 UNION ALL "
-            f"SELECT {uid}, 0 AS in_x, 1 AS in_y, {ys} FROM y), "
+            f"u AS (SELECT {key}, 1 AS in_x, 0 AS in_y, {xs} FROM survey0 UNION ALL "
+            f"SELECT {key}, 0 AS in_x, 1 AS in_y, {ys} FROM y), "
             f"g AS (SELECT {uid}, max(in_x) AS in_x, max(in_y) AS in_y, {picks} FROM u GROUP BY {uid})")
 
     def differs(c: str) -> str:
@@ -436,7 +438,7 @@ def _compare_sql() -> dict[str, str]:
                       f"AS {q('diff:' + c)}" for c in cols)
     counts = (f"SELECT sum(in_x) AS nrow_x, sum(in_y) AS nrow_y, sum(CASE WHEN in_y = 0 THEN 1 ELSE 0 END) "
               f"AS rows_only_x, sum(CASE WHEN in_x = 0 THEN 1 ELSE 0 END) AS rows_only_y, "
-              f"sum(in_x * in_y) AS rows_both, {diffs}, 60 AS ncol_x, 60 AS ncol_y, 58 AS ncol_shared, "
+              f"sum(in_x * in_y) AS rows_both, {diffs}, 60 AS ncol_x, 60 AS ncol_y, {58 + positional} AS ncol_shared, "
               f"1 AS ncol_not_compared, 1 AS ncol_only_x, 1 AS ncol_only_y, 1 AS {q('not_compared:supplier_number')}, "
               f"1 AS {q('only_x:avail_shop_rice')}, 1 AS {q('only_y:extra_note')} FROM g")
     names = (["nrow_x", "nrow_y", "rows_only_x", "rows_only_y", "rows_both"] + [f"diff:{c}" for c in cols]
@@ -591,6 +593,24 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     from .analysis import SHEETS
     of = {"items": "sheet_items", "stock": "sheet_stock", "barrier": "global_barrier_wide", "payment": "global_payment_wide",
           "supplier1": "sheet_supplier1", "supplier2": "sheet_supplier2", "credit1": "global_credit_wide", "credit2": "sheet_credit2"}
-    out["analysis_bundle"] = " UNION ALL ".join(
-        f"SELECT {i} AS position, '{s}' AS sheet, (SELECT count(*) FROM ({out[of[s]]}) x{i}) AS n" for i, s in enumerate(SHEETS))
+    from .registry import SHEET_ROW_KEYS
+    sheet_keys = {"barrier": ("call_location",), "payment": ("call_location",), "credit1": ("call_location",), "credit2": ("call_location",),
+                  "supplier1": ("call_location", "item"), "supplier2": ("call_location", "vendor_type")}
+    cells = []
+    for i, name in enumerate(SHEETS):
+        keys = sheet_keys.get(name, SHEET_ROW_KEYS)
+        listed = ", ".join(keys)
+        shown = ", ".join(k if k in keys else f"CAST(NULL AS VARCHAR) AS {k}" for k in SHEET_ROW_KEYS)
+        rows = f"SELECT {listed}, CAST(COLUMNS(* EXCLUDE ({listed})) AS DOUBLE) FROM ({out[of[name]]}) x{i}"
+        cells.append(f"SELECT {i} AS position, '{name}' AS sheet, {shown}, variable, value "
+                     f"FROM (UNPIVOT ({rows}) ON COLUMNS(* EXCLUDE ({listed})) INTO NAME variable VALUE value) u{i}")
+    out["analysis_bundle"] = " UNION ALL ".join(cells)
+    out["read_sheet_first"] = with_survey("SELECT * FROM log", f"log AS ({demo.log_sql('duckdb')})")
+    out["read_sheet_position"] = with_survey("SELECT * FROM deletions", f"deletions AS ({demo.deletions_sql('duckdb')})")
+    out["read_sheet_named"] = with_survey(f"SELECT {every} FROM survey")
+    out["sheet_order"] = ("SELECT *, row_number() OVER (ORDER BY vendor_type NULLS LAST, item NULLS LAST, call_location NULLS LAST) AS place "
+                          f"FROM ({out['sheet_items']}) o")
+    out["similarity_order"] = f"SELECT *, row_number() OVER (ORDER BY si DESC, call_location, enumerator) AS place FROM ({out['enumerator_similarity']}) o"
+    out["dated_csv"] = out["check_time"]
+    out["compare_positions"] = _compare_sql(positional=True)["compare_summary"]
     return out

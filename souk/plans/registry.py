@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..functions.sem import round_doubles, union_all_by_name
+from ..functions.sem import col, round_doubles, union_all_by_name
 from ..operators import compare as C
 from ..operators import indicators as I
 from ..operators import quality as Q
@@ -344,14 +344,85 @@ def q_row_index(spark, d):
     return io.with_row_index(_survey(spark, d), ["uuid"], "position")
 
 
+def _scratch(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/souk-{name}-{uuid.uuid4().hex}"
+
+
+SHEET_ROW_KEYS = ("call_location", "item", "vendor_type")
+
+
 @register("analysis_bundle")
 def q_analysis_bundle(spark, d):
-    """The eight sheets written as a bundle and read back: each sheet's place and rows."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/souk-bundle-{uuid.uuid4().hex}"
+    """The eight sheets written as a bundle and read back: every value, with its sheet's place."""
+    path = _scratch(spark, "bundle")
     write_analysis(analyse(_survey(spark, d)), path)
-    sheets = io.read_bundle(spark, path)
-    return union_all_by_name([df.groupBy().agg(F.lit(i).alias("position"), F.lit(name).alias("sheet"), F.count(F.lit(1)).alias("n"))
-                              for i, (name, df) in enumerate(sheets.items())])
+    parts = []
+    for i, (name, df) in enumerate(io.read_bundle(spark, path).items()):
+        keys = [k for k in SHEET_ROW_KEYS if k in df.columns]
+        values = [c for c in df.columns if c not in keys]
+        cells = df.select(*keys, *[col(c).cast("double").alias(c) for c in values]).unpivot(keys, [col(c) for c in values], "variable", "value")
+        cells = cells.where("value IS NOT NULL").select(F.lit(i).alias("position"), F.lit(name).alias("sheet"), *[
+            (F.col(k) if k in keys else F.lit(None).cast("string")).alias(k) for k in SHEET_ROW_KEYS], "variable", "value")
+        parts.append(cells)
+    return union_all_by_name(parts)
+
+
+def _two_sheets(spark, d) -> str:
+    path = _scratch(spark, "sheets")
+    io.write_bundle({"log": _log(spark, d), "deletions": demo.deletions(spark, d), "interviews": _survey(spark, d)}, path)
+    return path
+
+
+@register("read_sheet_first")
+def q_read_sheet_first(spark, d):
+    return io.read_sheet(spark, _two_sheets(spark, d))
+
+
+@register("read_sheet_named")
+def q_read_sheet_named(spark, d):
+    return io.read_sheet(spark, _two_sheets(spark, d), "interviews")
+
+
+@register("read_sheet_position")
+def q_read_sheet_position(spark, d):
+    return io.read_sheet(spark, _two_sheets(spark, d), 1)
+
+
+@register("sheet_order")
+def q_sheet_order(spark, d):
+    """The price sheet in its order, written, read back with each row's place."""
+    path = _scratch(spark, "ordered")
+    prices = materialize(I.price_table(_survey(spark, d)))
+    sheet = I.ordered(R.with_global(prices, R.global_prices(prices, "v7")), "vendor_type", "item", "call_location")
+    io.write_bundle({"items": sheet}, path)
+    return io.read_sheet(spark, path, "items", position="place")
+
+
+@register("similarity_order")
+def q_similarity_order(spark, d):
+    """The enumerators by falling similarity, written, read back with each row's place."""
+    path = _scratch(spark, "ordered")
+    types = Q.tool_types(demo.tool(spark))
+    found = SIM.enumerator_similarity(_survey(spark, d), types, "enumerator", "call_location", ordered=True)
+    io.write_bundle({"similarity": found}, path)
+    return io.read_sheet(spark, path, "similarity", position="place")
+
+
+@register("dated_csv")
+def q_dated_csv(spark, d):
+    """The duration check as a CSV file stamped with the run date, read back by the CSV rules."""
+    path = io.write_table(Q.check_time(_survey(spark, d), 5, 60), f"{_scratch(spark, 'dated')}/check_time", fmt="csv", run_date=dt.date(2021, 8, 1))
+    return io.read_survey_csv(spark, path)
+
+
+@register("compare_positions")
+def q_compare_positions(spark, d):
+    """Two stored tables matched by their rows' places, in files of different numbers and sizes."""
+    path = _scratch(spark, "positions")
+    x, y = _survey(spark, d).orderBy("uuid"), demo.survey_edited(spark, d).orderBy("uuid")
+    x.write.parquet(f"{path}/x")
+    y.write.option("maxRecordsPerFile", 777).parquet(f"{path}/y")
+    return C.compare_summary(spark.read.parquet(f"{path}/x"), spark.read.parquet(f"{path}/y"))
 
 
 @register("validation_outputs")
