@@ -497,22 +497,25 @@ def _nearest_sql(max_diff: int, copies: bool = True) -> str:
     return with_survey(body, ctes, materialized=("sample", "m", "scored", "both_dir"))
 
 
-def _search_sql() -> str:
-    """Every hundredth interview against all others."""
+def _search_sql(asked: str = "id % 100 = 0") -> str:
+    """The asked interviews (every hundredth) against all others."""
     cols = _answer_cols()
     vals = ", ".join(f"coalesce({demo.render_sql(q(c), _survey_type(c))}, 'NA') AS {q(c)}" for c in cols)
     dist = " + ".join(f"CASE WHEN a.{q(c)} = b.{q(c)} THEN 0 ELSE 1 END" for c in cols)
+    codes = ", ".join(f"dense_rank() OVER (ORDER BY {q(c)}) AS {q(c)}" for c in cols)
     not_na = " + ".join(f"CASE WHEN {q(c)} <> 'NA' THEN 1 ELSE 0 END" for c in cols)
     ctes = (f"sample AS ({demo.survey_copies_sql('duckdb', source='survey0')}), "
             f"m AS (SELECT CAST({q('index')} AS BIGINT) AS id, {vals} FROM sample), "
-            f"asked AS (SELECT * FROM m WHERE id % 100 = 0), "
-            f"pairs AS (SELECT a.id AS i, b.id AS j, {dist} AS d FROM asked a JOIN m b ON a.id <> b.id), "
-            f"best AS (SELECT i, min(d) AS d FROM pairs GROUP BY i), "
-            f"nearest AS (SELECT b.i, b.d, min(p.j) AS j FROM best b JOIN pairs p ON p.i = b.i AND p.d = b.d GROUP BY b.i, b.d)")
+            f"asked AS (SELECT * FROM m WHERE {asked}), "
+            # answers as numbers, and the distance and the other id in one: no pair is kept
+            f"coded AS (SELECT id, {codes} FROM m), "
+            f"best AS (SELECT a.id AS i, min(CAST({dist} AS BIGINT) * 1000000000000 + b.id) AS best FROM coded a JOIN coded b ON a.id <> b.id "
+            f"WHERE a.id IN (SELECT id FROM asked) GROUP BY a.id), "
+            f"nearest AS (SELECT i, best // 1000000000000 AS d, best % 1000000000000 AS j FROM best)")
     body = (f"SELECT " + ", ".join(f"m.{q(c)}" for c in cols) + f", {not_na} AS n_col_not_na, m.id AS survey_id, "
             f"nearest.j AS most_similar_survey, CAST(nearest.d AS BIGINT) AS number_different_columns "
             f"FROM asked m LEFT JOIN nearest ON nearest.i = m.id")
-    return with_survey(body, ctes, materialized=("sample", "m", "pairs"))
+    return with_survey(body, ctes, materialized=("sample", "m", "coded", "best"))
 
 
 def _silhouette_sql(columns: list[str]) -> str:
@@ -566,6 +569,7 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     out.update(_compare_sql())
     out["near_duplicates"] = _nearest_sql(5)
     out["nearest_survey"] = _search_sql()
+    out["nearest_survey_all"] = _search_sql("true")
     out["enumerator_similarity"] = _silhouette_sql(_silhouette_cols())
     for sheet, local, glob in (("sheet_items", "price_table", "global_prices"),
                                ("sheet_stock", "stock_table", "global_stock"),
@@ -585,7 +589,7 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     counts = {"deleted_still_in_data": "undeleted", "uuid_not_in_dataset": "log_unknown_uuids",
               "questions_not_in_dataset": "log_unknown_questions", "cleaning_log_not_applied": "check_log",
               "cleaning_check": "attach_issue_owner", "enumerator_similarity": "enumerator_similarity"}
-    sql = {name: out[query] for name, query in counts.items()} | {"similar_surveys": _nearest_sql(5, copies=False)}
+    sql = {name: out[query] for name, query in counts.items()} | {"similar_surveys": _nearest_sql(5, copies=False), "most_similar_surveys": with_survey("SELECT * FROM survey")}
     # name findings have no row index, so they belong to no logged interview
     more = {"cleaning_check": _sensitive_sql().count("UNION ALL")}
     out["validation_outputs"] = " UNION ALL ".join(

@@ -321,6 +321,12 @@ def q_nearest_survey(spark, d):
     return SIM.nearest_survey(demo.survey_copies(spark, d), types, F.col("index") % 100 == 0)
 
 
+@register("nearest_survey_all")
+def q_nearest_survey_all(spark, d):
+    types = Q.tool_types(demo.tool(spark))
+    return SIM.nearest_survey(demo.survey_copies(spark, d), types)
+
+
 @register("enumerator_similarity")
 def q_enumerator_similarity(spark, d):
     types = Q.tool_types(demo.tool(spark))
