@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from souk.functions import quantiles
 from souk.functions.quantiles import exact_quantiles
 from souk.functions.sem import render_text
 from souk.functions import names as N
@@ -136,3 +137,36 @@ def test_supplier_numbers_drop_water_and_null(spark):
                                "call_location string, vendor_type string, supplier_number int")
     got = [(r["vendor_type"], r["median"]) for r in I.supplier_numbers(df).collect()]
     assert got == [("shop", 2.0)]
+
+
+@pytest.mark.parametrize("task_values", [500_000, 50, 1])
+def test_quantiles_of_many_values_in_one_bucket(spark, task_values):
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    # group a: all within 1/256 of a binade; b: neighbouring doubles; c: signs, zero, infinities, ties
+    groups = {"a": 1 + rnd.random(3000) / 300, "b": -(5 + np.arange(700) * np.spacing(5.0)), "d": np.full(40, 2.5),
+              "c": np.concatenate([rnd.normal(size=500), [0.0, np.inf, -np.inf, 1e-310, -1e300], np.repeat(0.125, 60), 2.0 ** np.arange(-40, 40)])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r["g"]: r for r in quantiles.exact_quantiles(df, ["g"], "v", task_values=task_values).collect()}
+    for g, vs in groups.items():
+        assert got[g]["nv"] == len(vs)
+        for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+            assert got[g][name] == pytest.approx(np.quantile(vs, p), rel=1e-15)
+    assert got["e"]["nv"] == 0 and got["e"]["median"] is None
+
+
+def test_no_task_orders_a_large_bucket(spark, monkeypatch):
+    ordered = []
+    held = quantiles._holding
+
+    def seen(buckets, group):
+        out = held(buckets, group)
+        ordered.append(out.agg(F.max("_m")).first()[0])
+        return out
+    monkeypatch.setattr(quantiles, "_holding", seen)
+    df = spark.range(200_000).select((F.lit(1.0) + F.col("id") / 1e8).alias("v"))
+    got = quantiles.exact_quantiles(df.withColumn("g", F.lit(1)), ["g"], "v", task_values=1000).first()
+    assert ordered[0] > 100_000 and ordered[-1] <= 1000
+    assert got["median"] == pytest.approx(1 + 99_999.5 / 1e8, rel=1e-15)
