@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.sem import col, is_numeric, null_safe_join
-from ..sources.io import with_row_index, with_stored_index
+from ..sources.io import Sheet, long_sheet, with_row_index, with_stored_index
 
 DEFAULT_TOL = 1.5e-8
 
@@ -168,8 +168,18 @@ def compare_summary(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None,
     return counts.selectExpr(f"stack({len(names) + len(fixed)}, {stack}) AS (item, value)")
 
 
-def compare_bundles(a: dict[str, DataFrame], b: dict[str, DataFrame], keys: dict[str, Sequence[str]] | None = None,
+def compare_bundles(a: dict[str, Sheet], b: dict[str, Sheet], keys: dict[str, Sequence[str]] | None = None,
                     tol: float = DEFAULT_TOL) -> dict[str, DataFrame]:
-    """``compare_summary`` for every sheet present in both bundles, in ``a``'s order."""
+    """``compare_summary`` for every sheet present in both bundles, in ``a``'s order. A sheet in
+    parts is compared in its long form, whatever columns its parts hold."""
     keys = keys or {}
-    return {s: compare_summary(a[s], b[s], keys.get(s), tol) for s in a if s in b}
+    out = {}
+    for s in a:
+        if s not in b:
+            continue
+        x, y, by = a[s], b[s], keys.get(s)
+        if isinstance(x, list) or isinstance(y, list):
+            first = by[0] if by else (x[0] if isinstance(x, list) else y[0]).columns[0]
+            x, y, by = long_sheet(x, first), long_sheet(y, first), [first, "name"]
+        out[s] = compare_summary(x, y, by, tol)
+    return out

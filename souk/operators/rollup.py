@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sem import col, is_numeric, union_all_by_name
+from ..functions.sem import col, is_numeric, null_safe_join, union_all_by_name
+from ..session import materialize
+from ..sources.io import with_row_index
 from .reshape import pivot_wide
 
 LOC = "call_location"
@@ -71,6 +73,35 @@ def global_shares_wide(shares: DataFrame, items: list[str] | None = None, loc: s
     return out.select(col(loc), *[col(c) for c in sorted(item_cols)])
 
 
+def global_shares_parts(shares: DataFrame, loc: str = LOC, width: int = 1000) -> list[DataFrame]:
+    """``global_shares_wide`` in parts of at most ``width`` answer columns (sorted by name over all
+    parts), each with the same location rows and the ``_global`` row, for any number of answers.
+
+    Medians are formed in the long table; the names are numbered in Spark, and those of
+    one part at a time come to the driver.
+    """
+    places = materialize(shares.select(col(loc)).distinct())
+    n = places.count()
+    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("two rows for one cell: names collide"))).otherwise(F.max("pc"))
+    cells = shares.where(F.col("item").isNotNull()).groupBy(col(loc), "item").agg(one.alias("pc"))
+    names = with_row_index(cells.select("item").distinct(), ["item"], "at").select("item", F.floor((F.col("at") - 1) / width).cast("int").alias("part"))
+    cells = materialize(cells.join(names, "item"))
+    # a location without the answer counts as 0: so many zeros come before the shares
+    ranked = cells.groupBy("item", "part").agg(F.array_sort(F.collect_list(F.coalesce("pc", F.lit(0.0)))).alias("up"))
+    at = lambda k: F.coalesce(F.get("up", F.lit(k) - (F.lit(n) - F.size("up"))), F.lit(0.0))
+    glob = ranked.select(F.lit(GLOBAL).alias(loc), "item", (at((n - 1) // 2) * 0.5 + at(n // 2) * 0.5).alias("pc"), "part")
+    rows = materialize(cells.select(col(loc), "item", "pc", "part").unionByName(glob))
+    places = places.unionByName(places.sparkSession.createDataFrame([(GLOBAL,)], places.schema))
+    parts = []
+    for k in range((rows.agg(F.max("part")).first()[0] or 0) + 1):
+        here = rows.where(F.col("part") == k)
+        items = sorted(r["item"] for r in here.select("item").distinct().collect())
+        wide = here.groupBy(col(loc)).pivot("item", items).agg(F.max("pc"))
+        # a location without any answer of this part has zeros in it
+        parts.append(null_safe_join(places, wide, [loc], "left").fillna(0.0, subset=items).select(col(loc), *[col(c) for c in items]))
+    return parts
+
+
 def global_shares_v6(shares: DataFrame, loc: str = LOC) -> DataFrame:
     """v6 ``_global`` rows (long): median n over the locations that have the
     answer, share = n / sum of those medians over the question's answers."""

@@ -14,13 +14,24 @@ from ..operators import indicators as I
 from ..operators import rollup as R
 from ..operators.reshape import pivot_wide
 from ..session import materialize
-from ..sources.io import write_bundle
+from ..sources.io import Sheet, write_bundle
 
 SHEETS = ("items", "stock", "barrier", "payment", "supplier1", "supplier2", "credit1", "credit2")
 
 
+MOST_COLUMNS = 1000
+
+
+def _share_sheet(shares: DataFrame, most_columns: int) -> Sheet:
+    """A wide share sheet: one table, or parts of ``most_columns`` answers where there are more."""
+    found = shares.select("item").distinct().limit(most_columns + 1).count()
+    return R.global_shares_wide(shares) if found <= most_columns else R.global_shares_parts(shares, width=most_columns)
+
+
 def analyse(survey: DataFrame, location: str = "all", date: str = "2008", method: str = "v7",
-            cache: bool = False) -> dict[str, DataFrame]:
+            cache: bool = False, most_columns: int = MOST_COLUMNS) -> dict[str, Sheet]:
+    """The eight sheets. A v7 share sheet with more than ``most_columns`` different answers is a
+    list of tables of that many columns (``write_bundle`` and ``compare_bundles`` take both)."""
     df = I.filter_round(survey, location, date)
     if cache:
         df = df.cache()
@@ -32,9 +43,7 @@ def analyse(survey: DataFrame, location: str = "all", date: str = "2008", method
     cn = materialize(I.credit_numbers(df))
     barriers, payments, credits = (materialize(f(df)) for f in (I.barrier_shares, I.payment_shares, I.credit_shares))
     if method == "v7":
-        barrier = R.global_shares_wide(barriers)
-        payment = R.global_shares_wide(payments)
-        credit = R.global_shares_wide(credits)
+        barrier, payment, credit = (_share_sheet(s, most_columns) for s in (barriers, payments, credits))
     else:
         # v6: location and _global rows pivoted wide, no zero fill, every column
         # (the location too) sorted by name
@@ -57,5 +66,5 @@ def _sorted_columns(df: DataFrame) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in sorted(df.columns)])
 
 
-def write_analysis(sheets: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
+def write_analysis(sheets: dict[str, Sheet], path: str, fmt: str = "parquet") -> None:
     write_bundle({k: sheets[k] for k in SHEETS if k in sheets}, path, fmt=fmt)

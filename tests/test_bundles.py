@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from souk.operators import compare as C
+from souk.operators import rollup as R
 from souk.plans.comparison import compare_runs
 from souk.sources import io
 
@@ -76,3 +77,39 @@ def test_bundles_compared_without_keys(spark, folder):
     io.write_bundle({k: df.coalesce(1) for k, df in sheets.items()}, f"{folder}/b")
     found = compare_runs(spark, f"{folder}/a", f"{folder}/b", keyed=False).where("item like 'diff:%' or item like 'rows_only%'")
     assert {r["sheet"] for r in found.collect()} == {"items", "stock"} and found.where("value > 0").count() == 0
+
+
+def shares_of(spark, names, places=3):
+    """Share rows (location, item, n, pc): place k has every name whose number is not k modulo 5."""
+    df = spark.range(names * places).select((F.col("id") % places).alias("k"), F.floor(F.col("id") / places).alias("i"))
+    return df.where("i % 5 <> k").select(F.concat(F.lit("L"), F.col("k")).alias("call_location"), F.format_string("q__%06d", "i").alias("item"),
+                                         F.lit(1).alias("n"), ((F.col("i") % 7) / 7).alias("pc"))
+
+
+def test_parts_of_a_wide_sheet_hold_what_one_table_holds(spark):
+    shares = shares_of(spark, 23)
+    whole = R.global_shares_wide(shares)
+    parts = R.global_shares_parts(shares, width=10)
+    assert [len(p.columns) - 1 for p in parts] == [10, 10, 3] and sum((p.columns[1:] for p in parts), []) == whole.columns[1:]
+    want = {r["call_location"]: r.asDict() for r in whole.collect()}
+    for part in parts:
+        rows = part.collect()
+        assert sorted(r["call_location"] for r in rows) == sorted(want)
+        for r in rows:
+            assert all(r[c] == want[r["call_location"]][c] for c in part.columns)
+    # in parts or not, of one width or another: no difference
+    found = C.compare_bundles({"s": parts}, {"s": R.global_shares_parts(shares, width=8)}, {"s": ["call_location"]})["s"]
+    values = {r["item"]: r["value"] for r in found.collect()}
+    assert values["rows_both"] == 23 * 4 and values["diff:value"] == values["rows_only_x"] == values["rows_only_y"] == 0
+
+
+def test_a_sheet_in_parts_written_and_read(spark, folder):
+    shares = shares_of(spark, 1_200)
+    io.write_bundle({"credit1": R.global_shares_parts(shares, width=500), "n": spark.range(2)}, folder)
+    sheets = io.read_bundle(spark, folder)
+    assert list(sheets) == io.sheet_names(spark, folder) == ["credit1", "n"]
+    assert [len(p.columns) for p in sheets["credit1"]] == [501, 501, 201]
+    long = io.long_sheet(sheets["credit1"], "call_location")
+    assert long.count() == 1_200 * 4
+    got = long.join(shares.withColumnRenamed("item", "name"), ["call_location", "name"])
+    assert got.where("abs(value - pc) > 1e-12").count() == 0 and got.count() == shares.count()
