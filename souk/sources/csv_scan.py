@@ -111,7 +111,8 @@ class _Split:
 def splits(spark: SparkSession, path: str) -> list[dict]:
     """The splits of the files below ``path`` in file order: path, file, block, inside (whether it
     begins inside quotes), header (whether the file's first record begins in it), head (that
-    record's text, if it ends there too), crlf (whether the file's first line ends with it)."""
+    record's text, if it ends there too), crlf (whether the file's first line ends with it),
+    open (whether it ends inside quotes)."""
     names = ("file", "block", "path", "end_out", "end_in", "begun_out", "begun_in", "crlf", "head")
 
     def run(batches):
@@ -136,6 +137,7 @@ def splits(spark: SparkSession, path: str) -> list[dict]:
         out.append({"path": r["path"], "file": r["file"], "block": r["block"], "inside": inside, "header": has and not begun, "crlf": crlf,
                     "head": r["head"] if has and not begun else None})
         begun, inside = begun or has, r["end_in" if inside else "end_out"]
+        out[-1]["open"] = inside
     return out
 
 
@@ -239,15 +241,21 @@ def scan(spark: SparkSession, path: str, found: list[dict], width: int, na: tupl
     seen = Observation()
     cells.observe(seen, *_type_checks(width, number)).write.parquet(out)
     stored = spark.read.parquet(out)
+    whole = stored.where((F.col("kind") == WHOLE) & (F.col("seq") > 0)).drop("kind", "raw")
+    # no split begins or ends inside a cell: no record crosses an edge
+    if not any(s["inside"] or s["open"] for s in found):
+        return whole, _kinds([seen.get], width)
     crossing = _cells(_joined(stored.where(F.col("kind") != WHOLE).select("file", "block", "seq", "kind", "raw")), width, na)
-    flags = [seen.get, crossing.agg(*_type_checks(width, number)).first().asDict()]
+    kinds = _kinds([seen.get, crossing.agg(*_type_checks(width, number)).first().asDict()], width)
+    return whole.unionByName(crossing.where(F.col("seq") > 0)), kinds
+
 
+def _kinds(flags: list[dict], width: int) -> list[str]:
+    """Each column's type from what ``_type_checks`` told of all its cells."""
     def all_are(name):
         told = [f[name] for f in flags if f.get(name) is not None]
         return bool(told) and all(told)
-    kinds = ["bigint" if all_are(f"i{k}") else "double" if all_are(f"d{k}") else "string" for k in range(width)]
-    whole = stored.where((F.col("kind") == WHOLE) & (F.col("seq") > 0)).drop("kind", "raw")
-    return whole.unionByName(crossing.where(F.col("seq") > 0)), kinds
+    return ["bigint" if all_are(f"i{k}") else "double" if all_are(f"d{k}") else "string" for k in range(width)]
 
 
 def numbered(cells: DataFrame, found: list[dict], name: str) -> DataFrame:
