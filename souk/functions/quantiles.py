@@ -98,11 +98,13 @@ def _ranked(vals: DataFrame, targets: DataFrame, keys: list[str], task_values: i
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: Sequence[float] = DEFAULT_PROBS,
                     names: Sequence[str] = DEFAULT_NAMES,
-                    count_name: str | None = "nv", grid: bool = True, task_values: int = 500_000) -> DataFrame:
+                    count_name: str | None = "nv", grid: bool = True, task_values: int = 500_000,
+                    weight: str | None = None) -> DataFrame:
     """Per group of ``keys``: non-null count and exact quantiles of ``value``.
 
     Null keys form a group of their own. Returns ``keys + [count_name] + names``. No task
-    orders more than ``task_values`` distinct values of a group.
+    orders more than ``task_values`` distinct values of a group. ``weight``: column with the
+    number of times that a row counts (default: once).
     """
     keys = list(keys)
     probs = [float(p) for p in probs]
@@ -112,8 +114,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
 
     # 1. distinct values and multiplicities; nulls are a bucket of their own, which
     # holds no rank but keeps its group
-    vals = materialize(df.select(*k_cols, col(value).cast("double").alias("_v"))
-                       .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    times = F.lit(1) if weight is None else col(weight)
+    vals = materialize(df.select(*k_cols, col(value).cast("double").alias("_v"), times.cast("long").alias("_c"))
+                       .groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
                        .withColumn("_b", F.coalesce(order_bucket(F.col("_v")), F.lit(NULL_BUCKET))))
 
     # 2. buckets: counts, running sum, and the wanted ranks each one holds

@@ -59,8 +59,12 @@ def vendor_items(df: DataFrame, vendor: str = VENDOR) -> DataFrame:
 
 def vendor_items_no_unit(df: DataFrame, vendor: str = VENDOR) -> DataFrame:
     """Vendor items with the unit cut at the last ``_`` and the prefix removed."""
+    return without_unit(vendor_items(df, vendor), vendor)
+
+
+def without_unit(sold: DataFrame, vendor: str = VENDOR) -> DataFrame:
     item = F.replace(F.regexp_extract(F.col("item"), r"^(.*)_[^_]*$", 1), F.lit("price_usd_"), F.lit(""))
-    return vendor_items(df, vendor).select(col(vendor), item.alias("item")).distinct()
+    return sold.select(col(vendor), item.alias("item")).distinct()
 
 
 def price_table(df: DataFrame, loc: str = LOC, vendor: str = VENDOR) -> DataFrame:
@@ -70,9 +74,13 @@ def price_table(df: DataFrame, loc: str = LOC, vendor: str = VENDOR) -> DataFram
     several vendor types appears once per type.
     """
     long = long_values(df, [loc], price_columns(df), "item", "value")
-    stats = exact_quantiles(long, [loc, "item"], "value")
+    return price_rows(exact_quantiles(long, [loc, "item"], "value"), vendor_items(df, vendor), loc, vendor)
+
+
+def price_rows(stats: DataFrame, sold: DataFrame, loc: str = LOC, vendor: str = VENDOR) -> DataFrame:
+    """The price table of quantiles per location and price column and of the ``vendor_items``."""
     stats = stats.withColumn("check", check_flag(F.col("item"), F.col("nv")))
-    joined = stats.join(vendor_items(df, vendor), "item", "left")
+    joined = stats.join(sold, "item", "left")
     shown = title_case(F.replace(F.replace(F.col("item"), F.lit("price_usd_"), F.lit("")), F.lit("_"), F.lit(" ")))
     return joined.select(col(loc), shown.alias("item"), "nv", "median", "q1", "q3", "check", col(vendor))
 
@@ -113,11 +121,22 @@ def stock_difficulty(df: DataFrame, loc: str = LOC) -> DataFrame:
     ``dk`` and ``pnta`` count as ``no``. Where every answer is no, a ``yes``
     row with 0 is made so the item still shows.
     """
-    cols = N.starts_with(df.columns, "stock_dif_")
-    folded = df.select(col(loc), *[
-        F.replace(F.replace(col(c), F.lit("dk"), F.lit("no")), F.lit("pnta"), F.lit("no")).alias(c)
-        for c in cols])
-    counts = answer_counts(folded, cols, loc).where(F.col("value").isNotNull())
+    cols = difficulty_columns(df)
+    folded = df.select(col(loc), *[fold_difficulty(col(c)).alias(c) for c in cols])
+    return difficulty_rows(answer_counts(folded, cols, loc), loc)
+
+
+def difficulty_columns(df: DataFrame) -> list[str]:
+    return N.starts_with(df.columns, "stock_dif_")
+
+
+def fold_difficulty(answer: F.Column) -> F.Column:
+    return F.replace(F.replace(answer, F.lit("dk"), F.lit("no")), F.lit("pnta"), F.lit("no"))
+
+
+def difficulty_rows(counts: DataFrame, loc: str = LOC) -> DataFrame:
+    """Difficulty per location and item of the folded answers' counts."""
+    counts = counts.where(F.col("value").isNotNull())
     yes, no, nn = (F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) for c in (F.col("value") == "yes", F.col("value") == "no", F.lit(True)))
     found = counts.groupBy(col(loc), "name").agg(yes.alias("dif"), no.alias("no"), nn.alias("nn"))
     item = F.replace(F.col("name"), F.lit("stock_dif_"), F.lit(""))
@@ -127,10 +146,15 @@ def stock_difficulty(df: DataFrame, loc: str = LOC) -> DataFrame:
 
 def stock_table(df: DataFrame, loc: str = LOC, vendor: str = VENDOR) -> DataFrame:
     """Stock sheet: length, time and difficulty per location and item, with vendor type."""
-    sq = materialize(stock_quantiles(df, loc))  # location-level: feeds the length and the time side
+    return stock_rows(stock_quantiles(df, loc), stock_difficulty(df, loc), vendor_items_no_unit(df, vendor), loc, vendor)
+
+
+def stock_rows(quantiles: DataFrame, difficulty: DataFrame, sold: DataFrame, loc: str = LOC, vendor: str = VENDOR) -> DataFrame:
+    """The stock sheet of its three tables and of the ``vendor_items_no_unit``."""
+    sq = materialize(quantiles)  # location-level: feeds the length and the time side
     both = null_safe_join(stock_length(sq, loc), stock_time(sq, loc), [loc, "item"], "full")
-    both = null_safe_join(both, stock_difficulty(df, loc), [loc, "item"], "full")
-    both = both.join(vendor_items_no_unit(df, vendor), "item", "left")
+    both = null_safe_join(both, difficulty, [loc, "item"], "full")
+    both = both.join(sold, "item", "left")
     both = both.where(F.col("len_m").isNotNull())
     return both.select(col(loc), "item", "nv", "len_m", "len_q1", "len_q3", "tim_m", "tim_q1", "tim_q3",
                        "dif", "dif_pc", col(vendor), check_flag(F.col("item"), F.col("nv")).alias("check"))
@@ -144,17 +168,41 @@ CREDIT_PREFIXES = ("credit_", "cva_", "customer_", "gender_")
 CREDIT_NUMBER_PREFIXES = ("credit_max", "credit_total")
 
 
+def barrier_columns(df: DataFrame) -> list[str]:
+    return N.question_columns(df, BARRIER_PREFIXES)
+
+
+def payment_columns(df: DataFrame) -> list[str]:
+    return N.question_columns(df, PAYMENT_PREFIXES)
+
+
+def supplier_columns(df: DataFrame) -> list[str]:
+    return N.question_columns(df, SUPPLIER_PREFIXES, exclude_contains=("supplier_number",))
+
+
+def credit_columns(df: DataFrame) -> list[str]:
+    return N.question_columns(df, CREDIT_PREFIXES, exclude_prefixes=CREDIT_NUMBER_PREFIXES)
+
+
+def credit_number_columns(df: DataFrame) -> list[str]:
+    return N.starts_with(df.columns, CREDIT_NUMBER_PREFIXES)
+
+
+def with_other_effects(df: DataFrame) -> DataFrame:
+    """The free text of ``cva_effect_other`` once more, under a name that the share sheets keep."""
+    return df.withColumn("cva_effect_others", col("cva_effect_other")) if "cva_effect_other" in df.columns else df
+
+
 def barrier_shares(df: DataFrame, loc: str = LOC) -> DataFrame:
-    return answer_shares(df, N.question_columns(df, BARRIER_PREFIXES), loc)
+    return answer_shares(df, barrier_columns(df), loc)
 
 
 def payment_shares(df: DataFrame, loc: str = LOC) -> DataFrame:
-    return answer_shares(df, N.question_columns(df, PAYMENT_PREFIXES), loc)
+    return answer_shares(df, payment_columns(df), loc)
 
 
 def supplier_shares(df: DataFrame, loc: str = LOC) -> DataFrame:
-    cols = N.question_columns(df, SUPPLIER_PREFIXES, exclude_contains=("supplier_number",))
-    return answer_shares(df, cols, loc)
+    return answer_shares(df, supplier_columns(df), loc)
 
 
 def credit_shares(df: DataFrame, loc: str = LOC) -> DataFrame:
@@ -162,10 +210,8 @@ def credit_shares(df: DataFrame, loc: str = LOC) -> DataFrame:
 
     The free text of ``cva_effect_other`` is kept under ``cva_effect_others``.
     """
-    if "cva_effect_other" in df.columns:
-        df = df.withColumn("cva_effect_others", col("cva_effect_other"))
-    cols = N.question_columns(df, CREDIT_PREFIXES, exclude_prefixes=CREDIT_NUMBER_PREFIXES)
-    return answer_shares(df, cols, loc)
+    df = with_other_effects(df)
+    return answer_shares(df, credit_columns(df), loc)
 
 
 def supplier_numbers(df: DataFrame, loc: str = LOC, vendor: str = VENDOR,
@@ -173,17 +219,24 @@ def supplier_numbers(df: DataFrame, loc: str = LOC, vendor: str = VENDOR,
     """Quartiles of the number of suppliers per location and vendor type (no water sellers)."""
     num = df.select(col(loc), col(vendor), safe_number(render_text(col(column), df.schema[column].dataType))
                     .alias("_x"))
-    q = exact_quantiles(num, [loc, vendor], "_x", count_name=None)
+    return supplier_number_rows(exact_quantiles(num, [loc, vendor], "_x", count_name=None), loc, vendor)
+
+
+def supplier_number_rows(q: DataFrame, loc: str = LOC, vendor: str = VENDOR) -> DataFrame:
     return q.where(~F.col(vendor).contains("water")).select(col(loc), col(vendor), "median", "q1", "q3")
 
 
 def credit_numbers(df: DataFrame, loc: str = LOC) -> DataFrame:
     """Wide: per location, ``<column>_median``, ``_q1``, ``_q3`` of every credit amount."""
-    cols = N.starts_with(df.columns, CREDIT_NUMBER_PREFIXES)
+    cols = credit_number_columns(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     num = df.select(col(loc), *[safe_number(render_text(col(c), types[c])).alias(c) for c in cols])
     long = long_values(num, [loc], cols, "item", "value")
-    q = exact_quantiles(long, [loc, "item"], "value", count_name=None)
+    return credit_number_rows(exact_quantiles(long, [loc, "item"], "value", count_name=None), cols, loc)
+
+
+def credit_number_rows(q: DataFrame, cols: list[str], loc: str = LOC) -> DataFrame:
+    """Quantiles per location and amount laid out wide."""
     aggs = []
     for c in cols:
         for stat in ("median", "q1", "q3"):

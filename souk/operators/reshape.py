@@ -58,7 +58,12 @@ def answer_shares(df: DataFrame, columns: Sequence[str], loc: str = "call_locati
     options) are dropped, ``__1`` (ticked) is removed, ``.`` becomes ``__``.
     Output: ``loc, item, n, pc``.
     """
-    shares = shares_from_counts(answer_counts(df, columns, loc), [loc])
+    return share_items(answer_counts(df, columns, loc), loc)
+
+
+def share_items(counts: DataFrame, loc: str = "call_location") -> DataFrame:
+    """``answer_shares`` of answers already counted."""
+    shares = shares_from_counts(counts, [loc])
     key = F.concat(F.col("name"), F.lit("__"), F.col("value"))
     item = F.replace(F.replace(key, F.lit("__1"), F.lit("")), F.lit("."), F.lit("__"))
     return (shares.where(~key.contains("__0"))

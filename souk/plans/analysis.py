@@ -1,9 +1,9 @@
 """The analysis run: survey in, the eight indicator sheets out.
 
-``analyse`` returns the sheets as an ordered dict of DataFrames (nothing is
-computed yet); ``write_analysis`` writes them as one bundle. The wide survey
-is read once and cached in its projected, text-free form by Spark only if the
-caller asks (``cache=True``), since the sheets re-read it.
+``analyse`` returns the sheets as an ordered dict of DataFrames; ``write_analysis``
+writes them as one bundle. The wide survey is read once: all cells that the sheets
+need are counted in one job (``operators/cells.py``), and the sheets are formed
+from the counts.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import indicators as I
 from ..operators import rollup as R
+from ..operators.cells import Cells
 from ..operators.reshape import pivot_wide
 from ..session import materialize
 from ..sources.io import Sheet, write_bundle
@@ -29,19 +30,16 @@ def _share_sheet(shares: DataFrame, most_columns: int) -> Sheet:
 
 
 def analyse(survey: DataFrame, location: str = "all", date: str = "2008", method: str = "v7",
-            cache: bool = False, most_columns: int = MOST_COLUMNS) -> dict[str, Sheet]:
+            most_columns: int = MOST_COLUMNS) -> dict[str, Sheet]:
     """The eight sheets. A v7 share sheet with more than ``most_columns`` different answers is a
     list of tables of that many columns (``write_bundle`` and ``compare_bundles`` take both)."""
-    df = I.filter_round(survey, location, date)
-    if cache:
-        df = df.cache()
+    cells = Cells(I.filter_round(survey, location, date))
     # each location table feeds its own rows and the _global ones: computed once
-    prices = materialize(I.price_table(df))
-    stock = materialize(I.stock_table(df))
-    suppliers = materialize(I.supplier_shares(df))
-    sn = materialize(I.supplier_numbers(df))
-    cn = materialize(I.credit_numbers(df))
-    barriers, payments, credits = (materialize(f(df)) for f in (I.barrier_shares, I.payment_shares, I.credit_shares))
+    prices = materialize(cells.price_table())
+    stock = materialize(cells.stock_table())
+    sn = materialize(cells.supplier_numbers())
+    cn = materialize(cells.credit_numbers())
+    barriers, payments, suppliers, credits = (materialize(cells.shares(f)) for f in ("barrier", "payment", "supplier", "credit"))
     if method == "v7":
         barrier, payment, credit = (_share_sheet(s, most_columns) for s in (barriers, payments, credits))
     else:
