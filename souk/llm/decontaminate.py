@@ -2,7 +2,9 @@
 
 A document leaks a test item if the item occurs in it within an error budget:
 k = floor(``error_rate`` * length) edits (Levenshtein, the item whole, anywhere
-in the document). Both are compared as lower-cased words joined by one space.
+in the document). Both are compared as lower-cased words joined by one space. An
+item of fewer than ``least_chars`` characters has the same budget but must stand
+at word bounds: the spaces around it are part of it.
 
 Each item is cut into k + 1 pieces; k edits leave one piece whole, so every
 occurrence has an exact piece hit. One Aho-Corasick automaton finds the hits of
@@ -11,11 +13,11 @@ hit must hold all but k of the item's disjoint grams (an edit spoils at most one
 and is then verified with Myers' bit-parallel distance.
 
 Documents are read in parallel and never shuffled. The items go to every task in
-blocks of at most ``block_chars`` characters, one pass over the documents for
-each block, so what is broadcast is bounded however many items there are.
+blocks of about ``block_chars`` characters, one pass over the documents for
+each block; ``clean`` and ``leaks`` plan a pass for each block, so their broadcasts add up
+to the items' size.
 
-Defined results: null and empty texts and items match nothing; an item of fewer
-than ``least_chars`` characters must occur exactly, at word bounds; items with
+Defined results: null and empty texts and items match nothing; items with
 equal text are each reported; repeated rows are matched each; null ids are kept;
 other columns are ignored; empty tables give empty tables.
 """
@@ -36,7 +38,11 @@ GRAM = 5
 
 
 def normal(text: str) -> str:
-    return " ".join(WORD.findall(text.lower()))
+    low = text.lower()
+    if len(low) == len(text):
+        return " ".join(WORD.findall(low))
+    # a letter whose lower case has two code points: the words, and so the spans, stay those of the text
+    return " ".join([w.lower() for w in WORD.findall(text)])
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -103,9 +109,9 @@ class Matcher:
             item = normal(text or "")
             if not item:
                 continue
-            short = len(item) < least_chars
-            # a short item is matched with the spaces around it
-            item, k = (f" {item} ", 0) if short else (item, int(len(item) * error_rate))
+            k = int(len(item) * error_rate)
+            if len(item) < least_chars:  # a short item is matched with the spaces around it
+                item = f" {item} "
             for offset, piece in pieces(item, k):
                 hits.setdefault(piece, []).append((len(self.ids), offset))
             self.ids.append(item_id)

@@ -30,7 +30,22 @@ def test_equal_to_brute_force_edit_distance():
             assert found[0][1] == best
 
 
-def test_short_items_match_exactly_as_words():
+def test_short_items_match_within_their_budget_as_words():
+    rnd = random.Random(11)
+    hits = 0
+    for _ in range(300):
+        item = dec.normal("".join(rnd.choice("abcd ") for _ in range(rnd.randint(8, 31))))
+        changed = list(item)
+        for _ in range(rnd.randint(0, 3)):
+            changed[rnd.randrange(len(changed))] = rnd.choice(["", "x", "yz", " "])
+        text = dec.normal("q " + "".join(changed) + rnd.choice([" ", ""]) + "".join(rnd.choice("abcd ") for _ in range(20)))
+        found = dec.Matcher([(1, item)], 0.1, 32).find(text)
+        best = distance_to_any_part(f" {item} ", f" {text} ")
+        assert bool(found) == (best <= int(0.1 * len(item))), (item, text)
+        if found:
+            hits += 1
+            assert found[0][1] == best
+    assert 0 < hits < 300
     m = dec.Matcher([(1, "the cat"), (2, ""), (3, None), (4, "...")], 0.1, 32)
     assert [f[:2] for f in m.find("see the cat run")] == [(0, 0)]
     assert m.find("the cats") == [] and m.find("") == [] and [f[0] for f in m.find("the cat")] == [0]
@@ -45,6 +60,14 @@ def test_spans_are_code_points_of_the_text(spark):
     assert text[row["start"]:row["end"]] == "ALPHA  beta gamma—delta epsilon zeta eta theta iota kappa lambda"
 
 
+def test_spans_where_lower_case_is_longer(spark):
+    item = "the quick brown fox jumps over the lazy dog again"
+    text = "\u0130" * 8 + " \u0130stanbul " + item + " end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = dec.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert row["distance"] == 0 and text[row["start"]:row["end"]] == item
+
+
 def test_every_planted_item_is_found_and_clean_documents_stay(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     texts = {r["item_id"]: r["text"] for r in items.collect()}
