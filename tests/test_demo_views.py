@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from souk.sources import demo
+from souk.sources import demo, io
 
 
 def _tables(spark, folder, flags):
@@ -32,3 +32,21 @@ def test_lines_are_aggregated_without_sorting_them(spark, tmp_path):
     told = {"A": "local", "N": "regional", "R": "import"}
     want = {k: told.get(min((f for f in of if f is not None), default=None)) for k, of in enumerate(flags, 2)}
     assert {int(r["uuid"][1:]): r["supplier_source"] for r in survey.collect()} == want
+
+
+def test_copies_of_the_survey_are_not_stored(spark, tmp_path):
+    _tables(spark, tmp_path, [["A"], ["N", "R"], [None]])
+    copies = demo.survey_copies(spark, str(tmp_path))
+    assert all("/survey-" in f for f in copies.inputFiles())
+    assert copies.where("index <= 1000000000").count() == demo.survey(spark, str(tmp_path)).count()
+
+
+def test_the_edited_survey_keeps_the_order_of_its_rows(spark, tmp_path):
+    _tables(spark, tmp_path, [["A"]] * 60)
+    assert all("/survey-" in f for f in demo.survey_edited(spark, str(tmp_path)).inputFiles())
+    ordered = io.sorted_rows(demo.survey(spark, str(tmp_path)), "uuid", task_rows=5)
+    assert ordered.rdd.getNumPartitions() >= 12
+    uuids = [r["uuid"] for r in ordered.collect()]
+    assert uuids == sorted(uuids)
+    edited = [r["uuid"] for r in demo.edited(ordered).collect()]
+    assert edited == [u for u in uuids if u != "S5"]

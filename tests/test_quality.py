@@ -1,5 +1,8 @@
 """Validation and comparison operators on hand-made tables."""
 
+import datetime as dt
+import decimal
+
 import pytest
 
 from souk.operators import compare as C
@@ -94,3 +97,46 @@ def test_convert_col_types(spark):
     df = spark.createDataFrame([("12", "x", 1.0)], "a string, b string, c double")
     out = Q.convert_col_types(df, {"a": "integer", "b": "select_one", "c": "text"}).collect()[0]
     assert (out["a"], out["b"], out["c"]) == (12.0, "x", "1")
+
+
+def _stored(spark, folder, rows, schema, per_file=None):
+    df = spark.createDataFrame(rows, schema).coalesce(1)
+    (df.write.option("maxRecordsPerFile", per_file) if per_file else df.write).parquet(folder)
+    return spark.read.parquet(folder)
+
+
+SIDE = "s string, v double, n int, b boolean, d date, t timestamp, m decimal(10,2)"
+
+
+def _side(i, k=0):
+    day = dt.date(2021, 1, 1 + i % 28)
+    return (None if i % 11 == 3 else f"s{i - i % 7 * k}", float("nan") if i % 13 == 1 else float(i + k * (i % 5 == 0)), None if i % 3 else i, i % 2 == 0,
+            day, dt.datetime(2021, 1, 1, i % 24, tzinfo=dt.timezone.utc), decimal.Decimal(i) / 4)
+
+
+@pytest.mark.parametrize("nx,ny,block", [(100, 100, 7), (100, 60, 16), (20, 90, 4096), (0, 30, 8), (30, 0, 8), (0, 0, 8)])
+def test_rows_by_place_meet_in_blocks(spark, tmp_path, monkeypatch, nx, ny, block):
+    # the same differences as a join on the places gives
+    monkeypatch.setattr(C._by_position, "__defaults__", (block,))
+    x = _stored(spark, f"{tmp_path}/x", [_side(i) for i in range(nx)], SIDE)
+    y = _stored(spark, f"{tmp_path}/y", [_side(i, 1) for i in range(ny)], SIDE, per_file=9)
+    def rows(df):
+        return sorted(df.collect(), key=str)
+    cells, summary = rows(C.compare_tables(x, y)), rows(C.compare_summary(x, y))
+    monkeypatch.setattr(C, "PLAIN_TYPES", ())
+    assert cells == rows(C.compare_tables(x, y)) and summary == rows(C.compare_summary(x, y))
+    found = {r["item"]: r["value"] for r in summary}
+    assert (found["nrow_x"], found["nrow_y"], found["rows_both"]) == (nx, ny, min(nx, ny))
+    assert len(cells) == sum(v for k, v in found.items() if k.startswith("diff:")) and (min(nx, ny) == 0) == (not cells)
+
+
+def test_rows_by_place_are_not_shuffled_as_rows(spark, tmp_path):
+    x = _stored(spark, f"{tmp_path}/x", [_side(i) for i in range(40)], SIDE)
+    y = _stored(spark, f"{tmp_path}/y", [_side(i, 1) for i in range(40)], SIDE, per_file=9)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        plan = C.compare_summary(x, y)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan
