@@ -47,22 +47,18 @@ def ends_inside(line: str, inside: bool, quote: str = '"', delimiter: str = ",")
     """Whether a line that begins inside a quoted cell (or at a cell's start) ends inside one."""
     at = 0
     while True:
-        if inside:
-            at = line.find(quote, at)
-            if at < 0:
-                return True
-            if line[at + 1:at + 2] == quote:  # a doubled quote is a character
-                at += 2
-                continue
+        at = line.find(quote, at)
+        if at < 0:
+            return inside
+        if not inside:
+            # a quote opens a cell only as its first character
+            inside = at == 0 or line[at - 1] == delimiter
+            at += 1
+        elif line[at + 1:at + 2] == quote:  # a doubled quote is a character
+            at += 2
+        else:
             inside = False
-        elif line[at:at + 1] == quote:
-            inside = True
             at += 1
-            continue
-        at = line.find(delimiter, at)
-        if at < 0:
-            return False
-        at += 1
 
 
 def _lines(spark: SparkSession, path: str, *more: Column) -> DataFrame:
@@ -223,7 +219,8 @@ def _type_checks(width: int, number: str) -> list[Column]:
     for k in range(width):
         x = F.col(f"c{k}")
         data = x.isNotNull() & (F.col("seq") > 0)
-        whole = x.try_cast("bigint").isNotNull() & x.rlike(r"^\s*[+-]?\d+\s*$")
+        # the pattern first: a cast that fails is slow
+        whole = F.when(x.rlike(r"^\s*[+-]?\d+\s*$"), x.try_cast("bigint").isNotNull()).otherwise(False)
         out.append(F.min(F.when(data, whole.cast("int"))).alias(f"i{k}"))
         out.append(F.min(F.when(data, x.rlike(number).cast("int"))).alias(f"d{k}"))
     return out

@@ -102,3 +102,27 @@ def test_files_without_records(spark):
     assert io.read_survey_csv(spark, write("\n\n")).columns == []
     only = io.read_survey_csv(spark, write("a,b\n"))
     assert only.columns == ["a", "b"] and only.count() == 0
+
+
+def test_type_checks_cast_only_what_is_written_as_an_integer(spark, monkeypatch):
+    from pyspark.sql.classic.column import Column
+    # the strict cast fails the query at the first cell that is no integer
+    monkeypatch.setattr(Column, "try_cast", lambda self, kind: self.cast(kind))
+    cells = spark.createDataFrame([(0, "name", "size", "no"), (1, "x1", " 12 ", None), (2, "y", "-3", None), (3, "4.5", "+7", None)], "seq int, c0 string, c1 string, c2 string")
+    kept = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    try:
+        assert tuple(cells.agg(*csv_scan._type_checks(3, io.NUMBER)).first()) == (0, 0, 1, 1, None, None)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", kept)
+
+
+def test_ends_inside_looks_at_quotes_only():
+    class Line(str):
+        looked = 0
+
+        def find(self, *of):
+            self.looked += 1
+            return super().find(*of)
+    line = Line("a,b," * 50 + '"c ""d""","e')
+    assert csv_scan.ends_inside(line, False) is True and line.looked < 10
